@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +27,29 @@ def kind_of(df: DataFrame, name: str) -> str:
     return dict(df.dtypes)[name]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` computed once and cut from its lineage: a reliable checkpoint in the folder that
-    spark.checkpoint.dir names (shared by all executors), or in one of our own where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names (all executors share it), or one of our own where that is unset."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
+    where = context._jsc.sc().getCheckpointDir()
+    if where.isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        where = context._jsc.sc().getCheckpointDir()
+    return where.get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed once and cut from its lineage, as a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the shared folder, and read again; for whole texts, which a checkpoint would not compress."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null as the empty string."""
     return F.coalesce(F.col(name), F.lit(""))
