@@ -1,0 +1 @@
+"""Types, literals and how values are shown."""

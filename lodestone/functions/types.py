@@ -97,7 +97,8 @@ def parse_literal(text: str, dtype: DType):
                 value = Decimal(text)
                 shown = format(value, "f").lstrip("+-")
                 whole, _, part = shown.partition(".")
-                if len(part) > dtype.s or len(whole or "0") + len(part) > dtype.p:
+                # a leading zero counts as a digit; what Spark's decimal can't hold is refused as well
+                if len(part) > dtype.s or len(whole or "0") + len(part) > dtype.p or len(whole.lstrip("0")) > dtype.p - dtype.s:
                     raise TypeMismatch(f"'{text}' does not fit {dtype}")
                 return value
             case "varchar":

@@ -1,0 +1 @@
+"""Where rows come from and go: the versioned store, registered Parquet files, scratch folders."""

@@ -1,0 +1 @@
+"""The dialect has no streaming statements; nothing is here."""
