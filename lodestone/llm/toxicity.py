@@ -84,7 +84,7 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     counts = labelled.mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odd = (F.col("toxic") >= 4) & (F.col("toxic") * clean > 8 * F.col("clean") * toxic)
     rows = counts.select(F.count(F.lit(1)).alias("all"), F.collect_list(F.when(odd, F.struct("feature", "clean", "toxic"))).alias("found")).first()
-    base, limit = math.log(toxic / (toxic + clean)), -math.log(max(rows["all"], 1)) - 2
+    base, limit = math.log(toxic / (toxic + clean)), -math.log(max(rows["all"], 1))
 
     def sure(n0: int, n1: int) -> bool:
         return n1 * base + math.lgamma(n0 + n1 + 1) - math.lgamma(n0 + 1) - math.lgamma(n1 + 1) < limit
