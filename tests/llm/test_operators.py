@@ -246,7 +246,7 @@ def test_toxicity_held_out(spark):
     assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in rows)
     test = [(labels[x["doc_id"]], x["score"]) for x in rows if x["held_out"] and x["doc_id"] in labels]
     good, bad = [s for y, s in test if y], [s for y, s in test if not y]
-    assert np.mean([a > b for a in good for b in bad]) > 0.95 and np.mean([s >= 0.5 for s in good]) > 0.85 and np.mean([s >= 0.5 for s in bad]) < 0.05
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.95 and np.mean([s >= 0.5 for s in good]) > 0.85 and np.mean([s >= 0.5 for s in bad]) < 0.05
 
 
 def test_quotation_counts_apart():
