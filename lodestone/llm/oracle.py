@@ -57,14 +57,15 @@ def contamination_sql() -> str:
 
 
 def classes_sql() -> str:
-    """All pairs that share a shingle, verified, and the closure of the links; for small tables."""
+    """Pairs that share one of their least hashes (as pairs at the threshold must), verified, and the closure of the links."""
     w = WORDS
-    return rf"""with recursive d as (select row_number() over () as id, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') as w from documents),
-      s as (select id, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < {w} then [array_to_string(w, ' ')]
-        else list_transform(range(1, len(w) - {w - 2}), lambda i: array_to_string(w[i:i + {w - 1}], ' ')) end) as sh from d),
-      u as (select id, unnest(sh) as h from s),
-      p as (select a.id as x, b.id as y, count(*) as met from u a join u b on a.h = b.h and a.id < b.id group by 1, 2),
-      e as (select x, y from p join s a on a.id = x join s b on b.id = y where met >= {THRESHOLD} * (len(a.sh) + len(b.sh) - met) - 1e-9),
+    return rf"""with recursive d as materialized (select row_number() over () as id, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') as w from documents),
+      s as materialized (select id, doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < {w} then [hash(array_to_string(w, ' '))]
+        else list_transform(range(1, len(w) - {w - 2}), lambda i: hash(array_to_string(w[i:i + {w - 1}], ' '))) end)) as sh from d),
+      u as (select id, unnest(sh[1:len(sh) - ceil({THRESHOLD} * len(sh) - 1e-9)::int + 1]) as h from s),
+      p as materialized (select distinct a.id as x, b.id as y from u a join u b on a.h = b.h and a.id < b.id),
+      m as (select x, y, a.sh as ash, b.sh as bsh, len(list_intersect(a.sh, b.sh)) as met from p join s a on a.id = x join s b on b.id = y),
+      e as materialized (select x, y from m where met >= {THRESHOLD} * (len(ash) + len(bsh) - met) - 1e-9),
       l as (select x, y from e union all select y, x from e),
       reach(id, other) as (select id, id from s union select reach.id, l.y from reach join l on l.x = reach.other),
       c as (select reach.id, min(o.doc_id) as class_id from reach join s o on o.id = reach.other group by 1),
