@@ -214,33 +214,59 @@ def _bytes(text: str | bytes) -> bytes:
     return text.encode("utf-8") if isinstance(text, str) else text
 
 
-def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """row, lo, hi (first and last window), anchor and digest of every run."""
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Intervals in order, joined where they touch or overlap."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False) -> DataFrame:
+    """row, lo, hi (first and last window), anchor, digest and own of every run.
+
+    Equal runs of one text (periodic text has one for every period) are one row, with the bytes they cover in
+    `own`, which is null otherwise; `across`, where repeats in one text don't count, keeps them apart."""
+    interval = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             raw = [_bytes(t) for t in texts]
             for part in by_size(range(len(raw)), map(len, raw), 500_000):
-                found = list(runs([raw[i] for i in part], length, gram))
-                cols = list(zip(*found)) or [()] * 5
+                found = [(*r, None) for r in runs([raw[i] for i in part], length, gram)]
+                if not across:
+                    equal: dict[tuple, list] = {}
+                    for r in found:
+                        equal.setdefault((r[0], r[3], r[4]), []).append(r)
+                    if len(equal) < len(found):
+                        found = [
+                            x[0] if len(x) == 1 else (*x[0][:5], [{"a": a, "b": b} for a, b in _merged([(lo, hi + length) for _, lo, hi, *_ in x])]) for x in equal.values()
+                        ]
+                cols = list(zip(*found)) or [()] * 6
                 yield pa.record_batch(
-                    [pa.array([rows[part[k]] for k in cols[0]], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["row", "lo", "hi", "anchor", "digest"]
+                    [pa.array([rows[part[k]] for k in cols[0]], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:5]], pa.array(cols[5], interval)],
+                    names=["row", "lo", "hi", "anchor", "digest", "own"],
                 )
 
-    return docs.select("row", "text").mapInArrow(run, "row binary, lo long, hi long, anchor long, digest long")
+    return docs.select("row", "text").mapInArrow(run, "row binary, lo long, hi long, anchor long, digest long, own array<struct<a:long,b:long>>")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False) -> DataFrame:
     """row, a, b: byte intervals of `docs` (row, text: string or binary) covered by strings of `length` that occur again, or, `across`, in another row."""
-    every = anchored(docs, length, gram)
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
+    every = anchored(docs, length, gram, across)
+    times = F.sum(F.when(F.col("own").isNull(), 1).otherwise(2))
+    # settled, so that the join sees a plain exchange on both sides and can split an anchor that many rows share
+    again = settled(every.groupBy("anchor").agg(times.alias("m")).where("m > 1").select("anchor"))
     shared = settled(every.join(again, "anchor"))
-    copies = F.when(F.min("row") != F.max("row"), 2).otherwise(1).cast("long") if across else F.count(F.lit(1))
+    copies = F.when(F.min("row") != F.max("row"), 2).otherwise(1).cast("long") if across else times
     same = shared.groupBy("anchor", "digest").agg(copies.alias("copies"), F.min(F.struct("row", "lo")).alias("rep"))
     kinds = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     same = settled(same.join(kinds, "anchor"))
-    whole = shared.join(same.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"]).select("row", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    whole = shared.join(same.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"]).select("row", F.explode(F.coalesce("own", F.array(F.struct(F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))))).alias("s")).select("row", "s.a", "s.b")
     # one run of each kind stands for its copies; only anchors with several kinds go on
     reps = same.where("kinds > 1").select("anchor", "digest", "copies", "kinds", "rep.row", "rep.lo")
     reps = reps.join(shared.groupBy("anchor", "digest").agg(F.min(F.col("hi") - F.col("lo")).alias("more")), ["anchor", "digest"])
@@ -368,12 +394,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 part = batch.slice(lo, 256)
                 kept, removed, size = [], [], []
                 for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    raw, joined, out, at = text.encode("utf-8"), [], [], 0
-                    for s in sorted((s["a"], s["b"]) for s in spans or ()):
-                        if joined and s[0] <= joined[-1][1]:
-                            joined[-1][1] = max(joined[-1][1], s[1])
-                        else:
-                            joined.append(list(s))
+                    raw, joined, out, at = text.encode("utf-8"), _merged([(s["a"], s["b"]) for s in spans or ()]), [], 0
                     for a, b in joined:
                         out.append(raw[at:a])
                         at = b
