@@ -34,7 +34,7 @@ from .shingles import mixed
 LENGTH = 400
 GRAM = 128
 #: Bytes that one suffix array takes, and runs of one anchor in a shard.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 SHARD_RUNS = 3_000
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _BASE2 = np.uint64(0x2545F4914F6CDD1D)
@@ -233,9 +233,8 @@ def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bo
     interval = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            raw = [_bytes(t) for t in texts]
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            rows, raw = batch.column(0).to_pylist(), [_bytes(t) for t in batch.column(1).to_pylist()]
             for part in by_size(range(len(raw)), map(len, raw), 500_000):
                 found = [(*r, None) for r in runs([raw[i] for i in part], length, gram)]
                 if not across:
