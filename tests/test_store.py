@@ -172,3 +172,26 @@ def test_broken_manifest_is_refused(spark, db):
     db.store.files.write("manifest.json", b"{")
     with pytest.raises(e.StorageError):
         Database(spark, db.path)
+
+
+def test_tagged_files(db, tmp_path):
+    kinds = "b bool, i int, bi bigint, d decimal(10,2), v varchar(9), tx text, dt date, ts timestamp, u uuid, j json, bl blob"
+    fill(db, f"create table t ({kinds})", f"create table c ({kinds})", f"create table e ({kinds})")
+    fill(
+        db,
+        'insert into t values (false, -1, 99999999999999999999, 1.50, "a\\\\tb", "x", 2025-01-02, "2025-01-02 03:04:05", "a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11", "{\\"a\\":2}", "0xFF00")',
+        "insert into t values (null, 2, null, null, null, null, null, null, null, null, null)",
+    )
+    db.export_rows("t", str(tmp_path / "out"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).splitlines()
+    assert lines[0].split("\t") == ["@1|", "o:0", "i:-1", "g:99999999999999999999", "m:1.5", "t:a\\\\tb", "t:x", "d:2025-01-02", "s:2025-01-02 03:04:05", "u:a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11", 'j:{"a":2}', "b:ff00"]
+    assert lines[1].split("\t") == ["@2|", "n:", "i:2", *["n:"] * 9]
+    assert db.import_rows("c", str(tmp_path / "out")).stats.rows_affected == 2
+    assert rows(db, "select * from c") == rows(db, "select * from t")
+    (tmp_path / "old").write_text("o:1\ti:7" + "\tn:" * 3 + "\tt:a\\tb\\nc\\\\" + "\tn:" * 5 + "\n\n")
+    db.import_rows("e", str(tmp_path / "old"))
+    assert rows(db, "select i, tx from e") == [(7, "a\tb\nc\\")]
+    for bad in ("i:7", "o:1\tg:7" + "\tn:" * 9):
+        (tmp_path / "bad").write_text(bad + "\n")
+        with pytest.raises(Exception, match="values|Column 'i'"):
+            db.import_rows("e", str(tmp_path / "bad"))
