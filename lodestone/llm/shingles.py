@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

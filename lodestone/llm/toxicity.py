@@ -33,7 +33,7 @@ SAMPLE_ROWS = 20_000
 STEM = (3, 8)  # letters
 FUZZY_FROM = 5
 WINDOW = 6  # words on each side of a hit
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"\w+").findall
 # Marks and words of quotation in the corpus languages.
 QUOTE_MARKS = "\"“”„«»‘’"
