@@ -3,15 +3,18 @@
 1. A message's lines carry quote levels (the '>' before them). Lines of one level in a row are a passage; lines of
    level 0 are the message's own text, without lines that announce a quotation.
 2. Passages are normalised (lower case, letters and digits only) and hashed; so are every message's own text and each
-   of its lines. The joins look for the last earlier message of the same conversation that has the hash, else the
-   first message anywhere.
+   of its lines. A passage that equals neither in its conversation is looked for as a run of words inside own texts
+   (lines in a row, a paragraph wrapped anew, a sentence): a seed of up to SEED of its words names the messages, whose
+   words are then compared. The source is the last earlier message of the same conversation, an equal one before one
+   that holds the passage; else the first message anywhere that is equal, else the first that holds it.
 3. A message answers the message its outermost quotation comes from, where that is in its conversation, else the message
    before. Conversations are put in reply order: a chain of messages that answer the one before is a segment; the
    segments that hang on a segment follow it, those on its last messages first. Pointer doubling gives each
    segment's path, so the rounds grow with the logarithm of the nesting.
 
 Defined cases: null text is empty; null conv_id is one conversation of its own, null turns come first; equal rows are
-separate messages; an empty table gives an empty result; other columns are ignored.
+separate messages; an empty table gives an empty result; other columns are ignored. Passages under LEAST characters are
+looked for in their own conversation only; passages without letters or digits have no source.
 """
 
 from __future__ import annotations
@@ -22,8 +25,12 @@ from pyspark.sql import functions as F
 from .common import pick, settled
 
 _MARK = r"^(?:[ \t]*>)+[ \t]?"
-#: Normalised text shorter than this many characters links nothing.
+#: Normalised text shorter than this many characters links inside its conversation only.
 LEAST = 12
+#: Words of a seed.
+SEED = 4
+#: Wanted seeds are broadcast while they are at most so many.
+BROADCAST_ROWS = 100_000
 # How mail and chat programs announce a quotation.
 ANNOUNCE = r"(?i)^\s*(on .{1,200} wrote:|am .{1,200} schrieb.{0,80}:|le .{1,200} a écrit ?:|el .{1,200} escribió:|-{2,} ?original message ?-{2,}|quote:)\s*$"
 
@@ -32,9 +39,14 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _key(text: Column) -> Column:
-    norm = normalised(text)
-    return F.when(F.length(norm) >= LEAST, F.md5(norm.cast("binary")))
+def _key(norm: Column) -> Column:
+    return F.when(norm != "", F.md5(norm.cast("binary")))
+
+
+def _grams(words: Column, n: int) -> Column:
+    """Hashes of every `n` words in a row."""
+    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
 
 
 def parsed(conversations: DataFrame) -> DataFrame:
@@ -69,19 +81,61 @@ def parsed(conversations: DataFrame) -> DataFrame:
     )
 
 
+def _before(asked: DataFrame, forms: DataFrame) -> DataFrame:
+    """conv, at, number, source: the last message of `forms` (conv, at, hash) that stands before in the conversation."""
+    both = asked.select("conv", "at", "number", "hash", F.lit(None).cast("int").alias("source"))
+    both = both.unionByName(forms.select("conv", "at", F.lit(None).cast("int").alias("number"), "hash", F.col("at").alias("source")))
+    earlier = Window.partitionBy("conv", "hash").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("source", F.max("source").over(earlier)).where("number is not null and source is not null").select("conv", "at", "number", "source")
+
+
+def _holding(asked: DataFrame, messages: DataFrame, *scope: str) -> DataFrame:
+    """conv, at, hash: the messages whose own text has the words of an asked passage in a row; with `scope` 'conv', those of its conversation."""
+    words = F.split("norm", " ")
+    wanted = asked.select(*scope, "hash", "norm").distinct().withColumn("n", F.least(F.size(words), F.lit(SEED)))
+    seed = F.coalesce(*[F.when(F.col("n") == n, F.array_min(_grams(words, n))) for n in range(1, SEED + 1)])
+    wanted = settled(wanted.select(*scope, "hash", "norm", "n", seed.alias("seed")))
+    sizes = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # SEED numbers at most
+    texts = messages.select("conv", "at", normalised(F.col("own")).alias("own"))
+    if not sizes:
+        return texts.where("false").select("conv", "at", F.lit("").alias("hash"))
+    if scope:
+        texts = texts.join(wanted.select(*scope).distinct(), [*scope], "left_semi")
+    own = F.split("own", " ")
+    seeds = texts.select("conv", "at", F.explode(F.array_distinct(F.concat(*[_grams(own, n) for n in sizes]))).alias("seed"))
+    keys = wanted.select(*scope, "seed", "hash")
+    met = seeds.join(F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys, [*scope, "seed"]).select("conv", "at", "hash")
+    met = met.join(wanted.select("hash", "norm").distinct(), "hash").join(texts, ["conv", "at"])
+    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return met.where(F.contains(pad("own"), pad("norm"))).select("conv", "at", "hash")
+
+
+def _first(forms: DataFrame) -> DataFrame:
+    """hash and the first message anywhere that has it."""
+    return forms.groupBy("hash").agg(F.min(F.struct("conv", "at")).alias("first"))
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """conv, at, n_quotes, n_linked, level of the outermost linked passage, its source (source_conv, source_at)."""
     asked = messages.where(F.size("passages") > 0).select("conv", "at", F.posexplode("passages").alias("number", "passage"))
-    asked = asked.select("conv", "at", "number", "passage.level", _key(F.col("passage.text")).alias("hash"))
-    forms = messages.select("conv", "at", F.explode(F.array_distinct(F.concat(F.array(F.col("own")), F.col("own_lines")))).alias("form"))
-    forms = forms.select("conv", "at", _key(F.col("form")).alias("hash")).where("hash is not null")
-    forms = forms.join(asked.select("hash").distinct(), "hash", "left_semi")  # only what someone quotes
-    anywhere = forms.groupBy("hash").agg(F.min(F.struct("conv", "at")).alias("first"))
+    asked = asked.select("conv", "at", "number", "passage.level", normalised(F.col("passage.text")).alias("norm"))
+    asked = settled(asked.withColumn("hash", _key(F.col("norm"))))
     known = asked.where("hash is not null")
-    here = known.join(forms.withColumnRenamed("at", "source"), ["conv", "hash"]).where("source < at").groupBy("conv", "at", "number").agg(F.max("source").alias("source"))
-    found = asked.join(here, ["conv", "at", "number"], "left").join(anywhere, "hash", "left")
+    long = F.length("norm") >= LEAST
+    forms = messages.select("conv", "at", F.explode(F.array_distinct(F.concat(F.array(F.col("own")), F.col("own_lines")))).alias("form"))
+    forms = forms.select("conv", "at", _key(normalised(F.col("form"))).alias("hash")).where("hash is not null")
+    forms = settled(forms.join(known.select("hash").distinct(), "hash", "left_semi"))  # only what someone quotes
+    passage = ["conv", "at", "number"]
+    here = settled(_before(known, forms))
+    rest = settled(known.join(here, passage, "left_anti"))
+    here = settled(here.unionByName(_before(rest, _holding(rest, messages, "conv"))))
     away = (F.col("first.conv") != F.col("conv")) | (F.col("first.at") < F.col("at"))
-    source = F.when(F.col("source").isNotNull(), F.struct(F.col("conv").alias("conv"), F.col("source").alias("at"))).when(away, F.col("first"))
+    rest = rest.where(long).join(here, passage, "left_anti")
+    anywhere = settled(rest.join(_first(forms), "hash").where(away).select(*passage, "first"))
+    rest = settled(rest.join(anywhere, passage, "left_anti"))
+    anywhere = anywhere.unionByName(rest.join(_first(_holding(rest, messages)), "hash").where(away).select(*passage, "first"))
+    found = asked.join(here, passage, "left").join(anywhere, passage, "left")
+    source = F.when(F.col("source").isNotNull(), F.struct(F.col("conv").alias("conv"), F.col("source").alias("at"))).otherwise(F.col("first"))
     found = found.select("conv", "at", "number", "level", source.alias("source"))
     return found.groupBy("conv", "at").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("source").alias("n_linked"), F.min(F.when(F.col("source").isNotNull(), F.struct("level", "number", "source"))).alias("outermost")

@@ -313,6 +313,20 @@ def test_quotes(spark):
     assert got[2, 0]["source_conv"] == "1" and got[3, 0]["n_linked"] == 0 and got[3, 0]["formatted"] == "<|user|>\nok"
 
 
+def test_partial_quotes(spark):
+    """Runs of lines, a paragraph wrapped anew, interleaved pieces, a sentence out of a line, and short passages."""
+    mail = "Dear all,\nthe first point is the price\nthe second point is the date\nthe third is the place of it. We meet at noon.\nBest regards"
+    rows = [
+        (1, 0, "user", mail), (1, 1, "user", "I agree."), (1, 2, "user", "nothing to see in this message"), (1, 3, "user", "> the first point is the price\n> the second point is the date\nfine"),
+        (1, 4, "user", "> the second point\n> is the date the third\n> is the place of it.\nwrapped"), (1, 5, "user", "> Dear all,\n> the first point is the price\nyes\n> We meet at noon.\n> Best regards\nno"),
+        (1, 6, "user", "> we meet at noon\nlate"), (1, 7, "user", "> I agree.\nme too"), (1, 8, "user", "> e first point is the pric\nhalf words"), (1, 9, "user", "> ...\nno words"),
+        (2, 0, "user", "> the second point is the date\n> the third is the place\nelsewhere"), (2, 1, "user", "> I agree.\nshort and elsewhere"),
+    ]
+    got = {(x["conv_id"], x["turn"]): x for x in quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: (x["parent_turn"], x["n_quotes"], x["n_linked"]) for (c, t), x in got.items() if c == 1 and t > 2} == {3: (0, 1, 1), 4: (0, 1, 1), 5: (0, 2, 2), 6: (0, 1, 1), 7: (1, 1, 1), 8: (7, 1, 0), 9: (8, 1, 0)}
+    assert (got[2, 0]["source_conv"], got[2, 0]["n_linked"]) == ("1", 1) and got[2, 1]["n_linked"] == 0
+
+
 def test_reply_order(spark):
     """Answers to earlier messages follow their thread; deeper threads come first."""
     say = lambda i: f"this is message number {i} of the talk"
