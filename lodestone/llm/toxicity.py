@@ -2,7 +2,8 @@
 
 1. Lexicon. From a bounded sample of labelled documents outside the held-out fold, words and word
    stems (prefixes) whose documents are toxic far more often than chance allows (binomial, corrected
-   for the number of candidates). A stem is kept at the longest form that keeps nearly all its documents.
+   for the number of candidates). A stem is kept at the longest form that keeps nearly all its documents;
+   the forms that this leaves out are judged by themselves, and the found words behind a stem are entries too.
 2. Matching. Each distinct word meets the trie: stems must start it; whole entries of five letters or
    more may differ by one edit. The word's Levenshtein automaton runs along the trie; a test of shared
    one-letter deletions spares words that cannot match.
@@ -93,17 +94,19 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     extensions: dict[str, list[str]] = {}
     for f in found:
         extensions.setdefault("s" + f[1:-1] if f[0] == "s" else "s" + f[1 : STEM[1] + 1] if len(f) > STEM[1] + 1 else "s" + f[1:-1], []).append(f)
-    out: dict[str, float] = {}
-    taken: set[str] = set()
-    for f in sorted((f for f in found), key=lambda f: (len(f), f)):
-        if f in taken or any("s" + f[1:k] in taken for k in range(STEM[0] + 1, len(f))):
+    kept: set[str] = set()
+
+    def covered(f: str) -> bool:
+        return f in kept or any("s" + f[1:k] in kept for k in range(STEM[0] + 1, len(f)))
+
+    for f in sorted(found, key=lambda f: (len(f), f)):
+        if covered(f):
             continue
-        taken.add(f)
         while nxt := [x for x in extensions.get(f, ()) if x != f and found[x][1] >= 0.9 * found[f][1]]:
             f = max(nxt, key=lambda x: (found[x][1], x))
-        n0, n1 = found[f]
-        out[f] = math.log((n1 + 0.5) / (toxic + 1)) - math.log((n0 + 0.5) / (clean + 1))
-    return out
+        kept.add(f)  # what this form left out comes up later, by itself
+    words = {f for f in found if f[0] == "w" and covered(f)}  # the forms behind a stem, for the trie
+    return {f: math.log((found[f][1] + 0.5) / (toxic + 1)) - math.log((found[f][0] + 0.5) / (clean + 1)) for f in kept | words}
 
 
 class Automaton:

@@ -238,6 +238,17 @@ def test_automaton_and_trie():
     assert lexicon.match("zzz") == (9.0, True)
 
 
+def test_lexicon_keeps_words_and_branches(spark):
+    """Two forms of one term are met with an edit as well, and a rarer term beside a frequent one is kept."""
+    toxic = ["idiot"] * 300 + ["idiots"] * 200 + ["disgusting"] * 400 + ["disgrace"] * 30
+    rows = [(f"w{i} {w}", 1) for i, w in enumerate(toxic)] + [(f"w{i} nice", 0) for i in range(2000)]
+    entries = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    lexicon = toxicity.Lexicon(entries)
+    assert set(entries) == {"sidio", "widiot", "widiots", "wdisgusting", "wdisgrace"}
+    assert all(lexicon.match(w)[1] for w in ("idiot", "idiots", "idiotic", "disgusting", "disgrace"))
+    assert all(lexicon.match(w)[1] is False for w in ("ldiot", "idlot", "ldiots", "disqrace")) and lexicon.match("nice") is None
+
+
 @needs_tables
 def test_toxicity_held_out(spark):
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
