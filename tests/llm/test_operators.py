@@ -203,6 +203,19 @@ def test_roles():
     assert html.main_text(html.blocks("a &lt; b<p>c")) == "a < b\nc"
 
 
+@pytest.mark.parametrize(
+    "open_, kept",
+    [
+        ('<article class="post comments-open">', True), ('<main class="no-sidebar">', True), ('<div id="main" class="has-sidebar">', True), ('<div id="content" class="sidebar-layout">', True),
+        ('<article class="post sponsored">', True), ('<div class="with-nav">', True), ('<div style="overflow:hidden">', True), ('<div title="hidden gems">', True), ('<div class="overflow-hidden">', True), ('<div data-hidden="1">', True),
+        ("<div hidden>", False), ('<div class="x" hidden="">', False), ('<div style="color:red; display: none">', False), ('<div style="visibility:hidden">', False), ('<div class="hidden">', False),
+        ('<div class="left-sidebar">', False), ('<div class="share-buttons">', False), ('<div id="comments">', False), ('<article><article class="comment">', False), ('<nav class="no-sidebar">', False),
+    ],
+)
+def test_what_a_class_may_drop(open_, kept):
+    assert html.main_text(html.blocks(f"<body>{open_}<p>all of the text</p>")) == ("all of the text" if kept else "")
+
+
 def test_host_boilerplate(spark):
     notice = "All rights reserved by the site one two three four five six"
     rows = [(i, f"http://h.example/{i}", f"<div>{notice}</div><p>own words {i} of page number {i}</p>") for i in range(6)]
