@@ -4,12 +4,13 @@ A fixed mask chooses some of the tokens of a window and ignores the others, so a
 meets where an ignored token was substituted. Seeds of all documents are joined with those of the benchmark;
 each meeting names an item and a diagonal (place in the document minus place in the item). Around the
 meetings whole diagonals are compared token by token: a document is contaminated where SPAN consecutive tokens
-of an item (all of a shorter one) agree in SHARE of their places at least.
+of an item (all of a shorter one) agree in SHARE of their places at least. The masks of a size meet every such
+choice of agreeing places, wherever the others are; only masks for sizes that the benchmark has are used.
 
 Tokens are runs of letters and digits, lower-cased. The benchmark's seeds are broadcast only while they are at most
 BROADCAST_ROWS; beyond that the join is by shuffle.
 
-Defined cases: null texts are empty; a benchmark item shorter than LEAST_TOKENS is never searched for; equal items count
+Defined cases: null texts are empty; a benchmark item shorter than LEAST_TOKENS is searched for as an exact phrase, one without tokens never; equal items count
 as the one with the least item_id; null doc_id is kept; equal rows give equal rows; an empty benchmark
 contaminates nothing; other columns are ignored.
 """
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import pick, row_key, settled, text_of
 
-#: Places that a mask looks at, in windows of eight tokens and less.
+#: Places that a mask looks at, for items of SPAN tokens and more; MORE_MASKS meets what the others leave out.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 7), (0, 2, 3, 5, 6), (0, 1, 4, 6, 7))
-WIDTH = 8
+MORE_MASKS = ((0, 1, 2, 5, 9),)
+#: For items of LEAST_TOKENS up to SPAN.
+SHORT_MASKS = ((0, 1, 2, 4), (0, 3, 4, 5), (0, 1, 3, 6), (0, 1, 5, 7), (0, 2, 5, 6), (0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4))
 SPAN, SHARE = 13, 0.7
 LEAST_TOKENS = 5
 BROADCAST_ROWS = 1_000_000
@@ -35,20 +38,27 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(df: DataFrame, *ids: str) -> DataFrame:
-    """`ids`, place and seed: one row for each mask and place of `tokens`."""
-    size = F.size("tokens")
-    shifted = [F.col("tokens"), *[F.when(size > k, F.slice("tokens", k + 1, size)).otherwise(F.array().cast("array<bigint>")) for k in range(1, WIDTH)]]
+def masks_of(size: int) -> tuple[tuple[int, ...], ...]:
+    """The masks for items of `size` tokens."""
+    if size < LEAST_TOKENS:
+        return (tuple(range(size)),)
+    return MASKS + MORE_MASKS if size >= SPAN else tuple(m for m in SHORT_MASKS if m[-1] < size)
+
+
+def seeds(df: DataFrame, masks: dict[tuple[int, ...], Column], *ids: str) -> DataFrame:
+    """`ids`, place and seed: one row for each place of `tokens` and each mask whose condition holds."""
+    size, width = F.size("tokens"), max(m[-1] for m in masks) + 1
+    shifted = [F.col("tokens"), *[F.when(size > k, F.slice("tokens", k + 1, size)).otherwise(F.array().cast("array<bigint>")) for k in range(1, width)]]
     zipped = F.arrays_zip(*[s.alias(f"t{k}") for k, s in enumerate(shifted)])
-    zipped = zipped.cast("array<struct<" + ",".join(f"t{k}:bigint" for k in range(WIDTH)) + ">>")
-    placed = df.select(*ids, F.posexplode(zipped).alias("place", "w"))
-    keys = [F.when(F.col(f"w.t{mask[-1]}").isNotNull(), F.xxhash64(F.lit(m), *[F.col(f"w.t{k}") for k in mask])) for m, mask in enumerate(MASKS)]
+    zipped = zipped.cast("array<struct<" + ",".join(f"t{k}:bigint" for k in range(width)) + ">>")
+    placed = df.select(*ids, size.alias("size"), F.posexplode(zipped).alias("place", "w"))
+    keys = [F.when(F.col(f"w.t{mask[-1]}").isNotNull() & asked, F.xxhash64(F.lit(sum(1 << k for k in mask)), *[F.col(f"w.t{k}") for k in mask])) for mask, asked in masks.items()]
     return placed.select(*ids, "place", F.explode(F.array(*keys)).alias("seed")).where("seed is not null")
 
 
 def items(benchmark: DataFrame) -> DataFrame:
     """item_id and tokens of the distinct benchmark texts."""
-    found = pick(benchmark, "item_id", "text").select("item_id", tokens(text_of()).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    found = pick(benchmark, "item_id", "text").select("item_id", tokens(text_of()).alias("tokens")).where(F.size("tokens") > 0)
     return settled(found.groupBy("tokens").agg(F.min("item_id").alias("item_id")))
 
 
@@ -56,10 +66,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row, item_id, first and last (places of tokens in the document), agreeing: a row for each contaminated diagonal."""
     found = items(benchmark)
     held = found.select(F.xxhash64("tokens").alias("item"), "item_id", "tokens")
-    wanted = settled(seeds(held, "item").select("item", F.col("place").alias("item_place"), "seed").distinct())
+    kind = F.least(F.size("tokens"), F.lit(SPAN)).alias("kind")
+    kinds = sorted(r["kind"] for r in found.select(kind).distinct().collect()) or [SPAN]  # SPAN numbers at most
+    masks = dict.fromkeys(m for n in kinds for m in masks_of(n))
+    asked = {m: F.least(F.col("size"), F.lit(SPAN)).isin([n for n in kinds if m in masks_of(n)]) for m in masks}
+    wanted = settled(seeds(held, asked, "item").select("item", F.col("place").alias("item_place"), "seed").distinct())
     small = wanted.count() <= BROADCAST_ROWS
     keyed = pick(docs, "doc_id", "text").select(row_key("doc_id", "text").alias("row"), text_of().alias("text"))
-    own = seeds(keyed.select("row", tokens(F.col("text")).alias("tokens")), "row")
+    own = seeds(keyed.select("row", tokens(F.col("text")).alias("tokens")), {m: F.lit(True) for m in masks}, "row")
     met = own.join(F.broadcast(wanted) if small else wanted, "seed")
     met = settled(met.select("row", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct())
     per_row = met.groupBy("row").agg(F.collect_list(F.struct("item", "diagonal")).alias("met"))  # at most places x masks of one text

@@ -128,6 +128,22 @@ def test_decontamination_is_native(spark):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
 
 
+def test_every_substitution_is_found(spark):
+    """Items of 1 to 13 tokens with every choice of as many substitutions as the share allows; with one more, none."""
+    from itertools import combinations
+
+    bench, rows, want = [], [], {}
+    for n in range(1, 14):
+        item = [f"i{n}x{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        most = n - int(np.ceil(n * decontamination.SHARE)) if n >= decontamination.LEAST_TOKENS else 0
+        for c in [*combinations(range(n), most), *list(combinations(range(n), most + 1))[:40]]:
+            want[len(rows)] = str(n) if len(c) == most else ""
+            rows.append((len(rows), " ".join(["before", *["other" if k in c else w for k, w in enumerate(item)], "after"])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {x["doc_id"]: x["items"] for x in decontamination.contamination(docs, bench).collect()} == want
+
+
 # -- 4
 
 
