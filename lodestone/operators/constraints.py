@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import ForeignKeyViolation, NotNullViolation, UniqueViolation
 from ..plans.schema import ForeignKey, Schema
 from .predicates import literal
+from .select import RID
 
 
 def places(schema: Schema, names: tuple[str, ...]) -> list[str]:
@@ -33,6 +34,16 @@ def unique(df: DataFrame, table: str, schema: Schema, keys: list[tuple[str, ...]
             raise UniqueViolation(f"Duplicate value of {', '.join(key)} in table '{table}'")
 
 
+def unique_against(df: DataFrame, new: DataFrame, table: str, schema: Schema, keys: list[tuple[str, ...]]) -> None:
+    """No row of `df` agrees on a key with a row of `new` that has another id."""
+    for key in keys:
+        cols = places(schema, key)
+        theirs = new.where(all_known(cols)).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)], F.col(RID).alias("id"))
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"k{i}") for i, c in enumerate(cols)])
+        if some(df.select(*cols, RID).join(theirs, same & (F.col(RID) != F.col("id")), "left_semi")):
+            raise UniqueViolation(f"Duplicate value of {', '.join(key)} in table '{table}'")
+
+
 def unique_row(df: DataFrame, table: str, schema: Schema, values: list) -> None:
     """No row of `df` agrees with one new row on a key. The lookups are equalities, which Parquet's statistics narrow."""
     for key in schema.keys:
@@ -58,6 +69,17 @@ def referenced(child: DataFrame, child_schema: Schema, fk: ForeignKey, parents:
     return rows.join(keys, reduce(lambda a, b: a & b, [rows[m] == keys[f"k{i}"] for i, m in enumerate(mine)]), how)
 
 
+def outgoing_row(values: list, name: str, schema: Schema, fk: ForeignKey, parents: DataFrame, parent_schema: Schema) -> None:
+    """`outgoing` of one new row, by a lookup of its key. A row may reference itself."""
+    mine = [values[int(c[1:])] for c in places(schema, fk.columns)]
+    theirs = places(parent_schema, fk.keys)
+    if any(v is None for v in mine) or fk.parent == name and mine == [values[int(c[1:])] for c in theirs]:
+        return
+    same = reduce(lambda a, b: a & b, [F.col(c) == literal(v, parent_schema.columns[int(c[1:])].dtype) for c, v in zip(theirs, mine)])
+    if not some(parents.where(same)):
+        raise ForeignKeyViolation(f"Table '{name}' references a missing row of '{fk.parent}' by {', '.join(fk.columns)}")
+
+
 def outgoing(child: DataFrame, name: str, child_schema: Schema, fk: ForeignKey, parents: DataFrame, parent_schema: Schema) -> None:
     if some(referenced(child, child_schema, fk, parents, parent_schema, "left_anti")):
         raise ForeignKeyViolation(f"Table '{name}' references a missing row of '{fk.parent}' by {', '.join(fk.columns)}")

@@ -49,9 +49,11 @@ class Mutations:
                 raise NotNullViolation(f"Column '{column.name}' of table '{statement.table}' may not be NULL")
             values.append(parse_literal(text, column.dtype))
         check.unique_row(self.store.read(table), statement.table, schema, values)
+        for fk in schema.foreign_keys:
+            parent = self.state.table(fk.parent)
+            check.outgoing_row(values, statement.table, schema, fk, self.store.read(parent), parent.schema)
         row = self.store.spark.createDataFrame([(*values, table.next_rid)], spark_schema(schema))
-        self._outgoing(row, statement.table, schema, schema.foreign_keys)
-        self.state.tables[statement.table] = self.store.appended(table, row, table.next_rid + 1)
+        self.state.tables[statement.table] = self.store.appended(table, row, table.next_rid + 1, few=True)
         return 1
 
     def insert_many(self, name: str, df: DataFrame) -> int:
@@ -69,7 +71,8 @@ class Mutations:
         rows = self.store.read(staged, staged.segments[-1:])
         top = rows.agg(F.max(RID).alias("top"), F.count(F.lit(1)).alias("n")).first()
         check.not_null(rows, name, schema, [c.name for c in schema.columns if c.not_null])
-        check.unique(self.store.read(staged), name, schema, schema.keys)
+        check.unique(rows, name, schema, schema.keys)
+        check.unique_against(self.store.read(table), rows, name, schema, schema.keys)
         self.state.tables[name] = Table(staged.schema, staged.segments, (top["top"] or table.next_rid - 1) + 1, staged.version)
         self._outgoing(rows, name, schema, schema.foreign_keys)
         return top["n"]
@@ -104,17 +107,17 @@ class Mutations:
         return df.where(condition)
 
     def _write(self, name: str, touched: list[str], ids: DataFrame, new: DataFrame | None) -> None:
-        """Replaces the touched segments: their rows without `ids`, and `new`."""
+        """Replaces the touched files: their rows without `ids`, and `new`."""
         table = self.state.table(name)
         rows = self.store.read(table, tuple(touched)).join(ids.select(F.col(RID).alias("gone")), F.col(RID) == F.col("gone"), "left_anti")
         self.state.tables[name] = self.store.replaced(table, touched, rows.unionByName(new) if new is not None else rows)
 
     def _held(self, df: DataFrame) -> tuple[DataFrame, list[str], int]:
-        """`df` written once (so that later steps don't read what they replace), its segments and its size."""
+        """`df` written once (so that later steps don't read what they replace), the files of its rows and its size."""
         path = f"{self.work}/{uuid.uuid4().hex}"
         df.write.parquet(self.store.files.full(path))
         held = self.store.spark.read.schema(df.schema).parquet(self.store.files.full(path))
-        sizes = held.groupBy(SEGMENT).count().collect()  # a row for each segment
+        sizes = held.groupBy(SEGMENT).count().collect()  # a row for each file that is to be replaced
         return held, [r[SEGMENT] for r in sizes], sum(r["count"] for r in sizes)
 
     def _outgoing(self, rows: DataFrame, name: str, schema: Schema, keys: tuple[ForeignKey, ...] | list[ForeignKey]) -> None:
@@ -161,7 +164,9 @@ class Mutations:
         schema = table.schema
         after = held.select(*[F.col(f"n{i}").alias(f"c{i}") for i in range(len(schema.columns))], RID)
         self._write(name, touched, held, after)
-        check.unique(self.store.read(self.state.table(name)), name, schema, [k for k in schema.keys if set(k) & set(assigned)])
+        keys = [k for k in schema.keys if set(k) & set(assigned)]
+        check.unique(after, name, schema, keys)
+        check.unique_against(self.store.read(self.state.table(name)), after, name, schema, keys)
         self._outgoing(after, name, schema, [fk for fk in schema.foreign_keys if set(fk.columns) & set(assigned)])
         for action in ("restrict", "set null", "cascade"):
             for child, fk in self.state.incoming(name):
@@ -185,10 +190,20 @@ class Mutations:
                 self._apply_update(child, met.select(*rows.columns, *new), fk.columns)
         return n
 
-    def check_no_action(self) -> None:
-        """Every NO ACTION key of the state holds; for the end of a statement or transaction."""
+    def check_no_action(self, base: State) -> None:
+        """Every NO ACTION key holds that held at `base`; for the end of a statement or transaction. Only new rows of children
+        and keys that parents have lost can break one."""
         for name, table in sorted(self.state.tables.items()):
             for fk in table.schema.foreign_keys:
-                if "no action" in (fk.on_delete, fk.on_update):
-                    parent = self.state.table(fk.parent)
-                    check.outgoing(self.store.read(table), name, table.schema, fk, self.store.read(parent), parent.schema)
+                if "no action" not in (fk.on_delete, fk.on_update):
+                    continue
+                parent, before = self.state.table(fk.parent), base.tables.get(fk.parent)
+                if new := self.store.beyond(table, base.tables.get(name)):
+                    check.outgoing(self.store.read(table, new), name, table.schema, fk, self.store.read(parent), parent.schema)
+                if before is None or not (gone := self.store.beyond(before, parent)):
+                    continue
+                theirs = check.places(parent.schema, fk.keys)
+                back = self.store.read(parent, self.store.beyond(parent, before)).select(*[F.col(t).alias(f"b{t}") for t in theirs])
+                lost = self.store.read(before, gone).join(back, reduce(lambda a, b: a & b, [F.col(t) == F.col(f"b{t}") for t in theirs]), "left_anti")
+                if check.some(check.referenced(self.store.read(table), table.schema, fk, lost, parent.schema, "left_semi")):
+                    raise ForeignKeyViolation(f"Rows of '{name}' reference rows that '{fk.parent}' has lost")

@@ -1,4 +1,7 @@
-"""Predicates as total (never NULL) boolean columns: equality takes NULL as a value, ranges and globs on NULL are false or, strictly, errors."""
+"""Predicates as boolean columns: equality takes NULL as a value, ranges and globs on NULL are NULL or, strictly, errors.
+
+The dialect has no NOT, so a NULL condition drops a row just as false does; nothing is wrapped, and Parquet can filter by it.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +36,9 @@ def glob(col: Column, pattern: str) -> Column:
         if pattern[0] == pattern[-1] == "*":
             return col.contains(body)
     parts = {"*": ".*", "?": "."}
-    return col.rlike(r"(?s)\A" + "".join(parts.get(c) or (f"\\{c}" if re.match(r"[^\w\s]", c) and c.isascii() else c) for c in pattern) + r"\z")
+    found = col.rlike(r"(?s)\A" + "".join(parts.get(c) or (f"\\{c}" if re.match(r"[^\w\s]", c) and c.isascii() else c) for c in pattern) + r"\z")
+    start = re.match(r"[^*?]*", pattern)[0]
+    return col.startswith(start) & found if start else found
 
 
 class Predicates:
@@ -57,7 +62,7 @@ class Predicates:
             case "in":
                 values = [parse_literal(t.text, dtype) for t in where.values]
                 known = [literal(v, dtype) for v in values if v is not None]
-                out = F.coalesce(col.isin(known), F.lit(False)) if known else F.lit(False)
+                out = col.isin(known) if known else F.lit(False)
                 return out | col.isNull() if None in values else out
             case "=" | "!=":
                 value = parse_literal(where.values[0].text, dtype)
@@ -67,7 +72,7 @@ class Predicates:
                 if dtype.name not in GLOBBED:
                     raise TypeMismatch(f"LIKE takes text, and '{where.column}' is {dtype}")
                 self.nullable.append(col)
-                return F.coalesce(glob(col, where.values[0].text), F.lit(False))
+                return glob(col, where.values[0].text)
         if dtype.name not in RANGED:
             raise TypeMismatch(f"{where.op} does not take '{where.column}' of type {dtype}")
         value = parse_literal(where.values[0].text, dtype)
@@ -77,14 +82,24 @@ class Predicates:
                 raise TypeMismatch(f"{where.op} does not take NULL")
             return F.lit(False)
         other = literal(value, dtype)
-        result = {">": col > other, "<": col < other, ">=": col >= other, "<=": col <= other}[where.op]
-        return F.coalesce(result, F.lit(False))
+        return {">": col > other, "<": col < other, ">=": col >= other, "<=": col <= other}[where.op]
 
     def met_null(self) -> Column | None:
         """True for rows that a strict query rejects."""
         return reduce(lambda a, b: a | b, [c.isNull() for c in self.nullable]) if self.strict and self.nullable else None
 
 
+def implied(where: ast.Where, fields: list[Field]) -> list[tuple[int, str, list]]:
+    """(place, operator, values) of the comparisons with known values that every row of the result meets."""
+    if isinstance(where, ast.Logic):
+        return implied(where.left, fields) + implied(where.right, fields) if where.op == "and" else []
+    if where.op not in ("=", "in", ">", "<", ">=", "<="):
+        return []
+    at = resolve(fields, where.column)
+    values = [parse_literal(t.text, fields[at].dtype) for t in where.values]
+    return [] if None in values else [(at, where.op, values)]
+
+
 def equality(where: ast.Where | None) -> str | None:
     """The column of a condition that is one equality."""
     return where.column if isinstance(where, ast.Predicate) and where.op == "=" else None

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scenarios
+from .errors import DialectError
 from .session import Analytics, Database
 from .sources.scratch import scratch_path
 
@@ -137,9 +139,10 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "group_by_null_key": (f"select labels.quality as quality, count(*) as n {_docs} group by labels.quality", f"select l.quality, count(*) as n {_odocs} group by 1"),
     "group_no_agg": ("select c_nationkey from customer group by c_nationkey", "select c_nationkey from customer group by 1"),
     "group_count_distinct": ("select event_type, count(distinct user_id) as users from events group by event_type", "select event_type, count(distinct user_id) as users from events group by 1"),
-    "having_count": (
-        "select o_custkey, count(*) from orders group by o_custkey having count(*) > 15".replace("count(*) from", "count(*) as n from").replace("having count(*)", "having n"),
-        "select o_custkey, count(*) as n from orders group by 1 having count(*) > 15",
+    "having_count": ("select o_custkey, count(*) from orders group by o_custkey having count(*) > 15", "select o_custkey, count(*) as n from orders group by 1 having count(*) > 15"),
+    "having_distinct": (
+        "select c_nationkey, count(distinct c_mktsegment), sum(c_custkey) from customer group by c_nationkey having count(distinct c_mktsegment) >= 5 and sum(c_custkey) > 100",
+        "select c_nationkey, count(distinct c_mktsegment) as segments, cast(sum(c_custkey) as bigint) as total from customer group by 1 having count(distinct c_mktsegment) >= 5 and sum(c_custkey) > 100",
     ),
     "having_alias": (
         "select c_mktsegment, sum(c_acctbal) as total from customer group by c_mktsegment having total > 1000000.00 and (total < 9000000.00 or c_mktsegment = \"BUILDING\")",
@@ -161,6 +164,10 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "distinct_one": ("select distinct c_mktsegment from customer", "select distinct c_mktsegment from customer"),
     "distinct_many": ("select distinct o_orderstatus, o_orderpriority from orders", "select distinct o_orderstatus, o_orderpriority from orders"),
     "distinct_nulls": (f"select distinct labels.quality as quality {_docs}", f"select distinct l.quality {_odocs}"),
+    "distinct_order": (
+        "select distinct o_orderstatus, o_orderpriority from orders order by o_orderpriority desc, o_orderstatus limit 7",
+        "select distinct o_orderstatus, o_orderpriority from orders order by o_orderpriority desc, o_orderstatus limit 7",
+    ),
     "distinct_grouped": ("select distinct count(*) as n from orders group by o_custkey", "select distinct n from (select count(*) as n from orders group by o_custkey)"),
     "order_multi": (
         "select c_custkey, c_mktsegment from customer order by c_mktsegment desc, c_custkey limit 20", "select c_custkey, c_mktsegment from customer order by c_mktsegment desc, c_custkey limit 20"
@@ -185,16 +192,37 @@ STATEMENTS: dict[str, tuple[str, str]] = {
 }
 
 
-def _query(statement: str) -> Callable[[SparkSession, str], DataFrame]:
+#: Headers of aggregates are no handy names for columns; these results get others.
+NAMES = {"having_count": ("o_custkey", "n"), "having_distinct": ("c_nationkey", "segments", "total")}
+
+
+def _query(statement: str, names: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
     words = set(statement.replace(",", " ").split())
     tables = [t for t in TABLES if t in words]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plain(analytics(spark, sf_dir, *tables).sql(statement))
+        out = analytics(spark, sf_dir, *tables).sql(statement)
+        return plain(out.toDF(*names) if names else out)
 
     return run
 
 
+def agg_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types and exact values of sums and means, as text."""
+    sql = "select sum(o_totalprice) as a, avg(o_totalprice) as b, sum(o_custkey) as c, avg(o_custkey) as d, count(*) as e, min(o_totalprice) as f from orders"
+    df = analytics(spark, sf_dir, "orders").sql(sql)
+    return df.select(*[F.concat(F.typeof(c), F.lit(" "), F.col(c).cast("string")).alias(c) for c in df.columns])
+
+
+_cents = "cast(round(o_totalprice * 100) as hugeint)"
+_mean = "(({0} * 2000000 + {1}) // (2 * {1}))"  # whole-number arithmetic: millionths, rounded half up
+AGG_TYPES = f"""with x as (select sum({_cents}) as s, sum(o_custkey)::hugeint as k, count(*)::hugeint as n, min({_cents}) as m from orders),
+  y as (select *, {_mean.format("s", "(n * 100)")} as ms, {_mean.format("k", "n")} as mk from x)
+  select 'decimal(38,2) ' || (s // 100) || '.' || lpad((s % 100)::varchar, 2, '0') as a, 'decimal(38,6) ' || (ms // 1000000) || '.' || lpad((ms % 1000000)::varchar, 6, '0') as b,
+  'bigint ' || k as c, 'decimal(38,6) ' || (mk // 1000000) || '.' || lpad((mk % 1000000)::varchar, 6, '0') as d, 'bigint ' || n as e,
+  'decimal(15,2) ' || (m // 100) || '.' || lpad((m % 100)::varchar, 2, '0') as f from y"""
+
+
 # -- statements that write: each runs in a new scratch database filled from the tables, and returns what is stored after it
 
 _NATION = 'create table nation (n_nationkey int primary key, n_name text not null, n_regionkey int default 0, unique(n_name))'
@@ -210,11 +238,22 @@ def _filled(spark: SparkSession, sf_dir: str, foreign_key: str = "") -> Database
     return db
 
 
+def _refused(db: Database, statement: str) -> None:
+    try:
+        db.execute(statement)
+    except DialectError:
+        return
+    raise AssertionError(f"The engine took: {statement}")
+
+
 def _written(foreign_key: str, statements: list[str], result: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         db = _filled(spark, sf_dir, foreign_key)
         for s in statements:
-            db.execute(s)
+            if s.startswith("! "):
+                _refused(db, s[2:])
+            else:
+                db.execute(s)
         return plain(db.execute(result).frame())
 
     return run
@@ -223,7 +262,9 @@ def _written(foreign_key: str, statements: list[str], result: str) -> Callable[[
 _ALL = "select n_nationkey, n_name, n_regionkey from nation"
 _JOINED = "select nation.n_nationkey as n_nationkey, region.r_name as r_name from nation left join region on nation.n_regionkey = region.r_regionkey"
 
-#: name: (foreign key of nation, statements, final query, oracle)
+_FK = "foreign key(n_regionkey) references region(r_regionkey)"
+
+#: name: (foreign key of nation, statements, final query, oracle); statements after a '!' must be refused
 WRITES: dict[str, tuple[str, list[str], str, str | None]] = {
     "insert_default": (
         "", ['insert into nation values (100, "ATLANTIS")', 'insert into nation values (101, "LEMURIA", null)'], _ALL,
@@ -260,6 +301,41 @@ WRITES: dict[str, tuple[str, list[str], str, str | None]] = {
         "", ["alter table region add unique(r_name)", "alter table nation add foreign key(n_regionkey) references region(r_regionkey)", "create index on nation (n_regionkey)", "alter table nation alter column n_regionkey set not null"],
         "select n_nationkey, n_name from nation where n_regionkey = 3", "select n_nationkey, n_name from nation where n_regionkey = 3",
     ),
+    "restrict_delete": ("on delete restrict", ["! delete from region where r_regionkey = 1", "delete from nation where n_regionkey = 2", "delete from region where r_regionkey = 2"], "select * from region", "select * from region where r_regionkey <> 2"),
+    "restrict_update": (
+        "on update restrict", ["! update region set r_regionkey = 77 where r_regionkey = 2", 'update region set r_name = "X" where r_regionkey = 2'], "select * from region",
+        "select r_regionkey, case when r_regionkey = 2 then 'X' else r_name end as r_name from region",
+    ),
+    "foreign_key_check": (
+        "on delete cascade", ['! insert into nation values (200, "X", 99)', 'insert into nation values (201, "Y", 3)', 'insert into nation values (202, "Z", null)', "! update nation set n_regionkey = 50 where n_nationkey = 3"], _ALL,
+        "select * from nation union all select 201, 'Y', 3 union all select 202, 'Z', null",
+    ),
+    "unique_check": (
+        "", ['! insert into nation values (7, "X")', '! insert into nation values (300, "NATION_3")', '! update nation set n_name = "NATION_3" where n_nationkey = 0', "! update nation set n_nationkey = 500 where n_regionkey = 1", "update nation set n_nationkey = 500 where n_nationkey = 6"], _ALL,
+        "select case when n_nationkey = 6 then 500 else n_nationkey end as n_nationkey, n_name, n_regionkey from nation",
+    ),
+    "not_null_check": ("", ["! insert into nation values (400, null)", "! update nation set n_name = null where n_nationkey = 1", "alter table nation alter column n_name drop not null", "update nation set n_name = null where n_nationkey = 1"], _ALL, "select n_nationkey, case when n_nationkey <> 1 then n_name end as n_name, n_regionkey from nation"),
+    "drop_unique": ("", ["alter table nation drop unique(n_name)", 'update nation set n_name = "SAME" where n_regionkey = 1'], _ALL, "select n_nationkey, case when n_regionkey = 1 then 'SAME' else n_name end as n_name, n_regionkey from nation"),
+    "drop_foreign_key": (
+        "on delete restrict", ["! delete from region where r_regionkey = 1", f"alter table nation drop {_FK}", "delete from region where r_regionkey = 1", 'insert into nation values (200, "X", 99)'],
+        "select nation.n_nationkey as n_nationkey, region.r_name as r_name from nation left join region on nation.n_regionkey = region.r_regionkey",
+        "select n_nationkey, case when r_regionkey <> 1 then r_name end as r_name from (select * from nation union all select 200, 'X', 99) left join region on n_regionkey = r_regionkey",
+    ),
+    "alter_refused": (
+        "", ["! alter table nation add unique(n_regionkey)", "update nation set n_regionkey = null where n_nationkey = 1", "! alter table nation alter column n_regionkey set not null", "update region set r_regionkey = 9 where r_regionkey = 0", f"! alter table nation add {_FK}"],
+        "describe nation",
+        "select * from (values ('n_nationkey','int',true,true,true,null,''), ('n_name','text',false,true,true,null,''), ('n_regionkey','int',false,false,false,'0','')) t(\"column\", \"type\", primary_key, \"unique\", not_null, \"default\", indexes)",
+    ),
+    "index_lookup": ("", ["create index on nation (n_regionkey)", 'insert into nation values (700, "N", 3)', "drop index on nation (n_regionkey)", "create index on nation (n_name, n_regionkey)", "create index on nation (n_regionkey)"], f"{_ALL} where n_regionkey = 3", "select * from nation where n_regionkey = 3 union all select 700, 'N', 3"),
+    "key_lookup": ("", ['insert into nation values (800, "N", 3)'], f"{_ALL} where n_nationkey = 800", "select 800 as n_nationkey, 'N' as n_name, 3 as n_regionkey"),
+    "unique_lookup": ("", ['insert into nation values (800, "N", 3)'], f'{_ALL} where n_name = "NATION_4"', "select * from nation where n_name = 'NATION_4'"),
+    "ddl_in_transaction": ("", ["begin", "! create index on nation (n_regionkey)", "! create table x (a int)", "delete from nation where n_regionkey = 0", "commit"], _ALL, "select * from nation where n_regionkey <> 0"),
+    "failed_statement": ("", ["begin", 'insert into nation values (600, "P")', '! insert into nation values (600, "Q")', "! begin", 'update nation set n_name = "R" where n_nationkey = 600', "commit"], _ALL, "select * from nation union all select 600, 'R', 0"),
+    "no_action_refused": (
+        "on update no action on delete no action", ["! delete from region where r_regionkey = 1", "! update region set r_regionkey = 77 where r_regionkey = 2", "begin", "delete from region where r_regionkey = 3", "! commit", "delete from nation where n_regionkey = 4", "delete from region where r_regionkey = 4"],
+        _JOINED, "select n_nationkey, r_name from nation join region on n_regionkey = r_regionkey where r_regionkey <> 4",
+    ),
+    "stored_order": ("", ["update nation set n_regionkey = null where n_nationkey = 5", 'insert into nation values (900, "A", 2)'], f"{_ALL} order by n_regionkey desc limit 6 offset 9", "select n_nationkey, n_name, n_regionkey from (select n_nationkey, n_name, case when n_nationkey <> 5 then n_regionkey end as n_regionkey, n_nationkey as rid from nation union all select 900, 'A', 2, 1000) order by n_regionkey desc nulls last, rid limit 6 offset 9"),
     "describe": (
         "", ["create index on nation (n_regionkey, n_name)"], "describe nation",
         "select * from (values ('n_nationkey','int',true,true,true,null,''), ('n_name','text',false,true,true,null,'n_regionkey+n_name'), ('n_regionkey','int',false,false,false,'0','n_regionkey+n_name')) t(\"column\", \"type\", primary_key, \"unique\", not_null, \"default\", indexes)",
@@ -268,12 +344,13 @@ WRITES: dict[str, tuple[str, list[str], str, str | None]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: _query(statement) for name, (statement, _) in STATEMENTS.items()}
-    return out | {name: _written(fk, statements, result) for name, (fk, statements, result, _) in WRITES.items()}
+    out = {name: _query(statement, NAMES.get(name, ())) for name, (statement, _) in STATEMENTS.items()} | {"agg_types": agg_types}
+    out |= {name: _written(fk, statements, result) for name, (fk, statements, result, _) in WRITES.items()}
+    return out | scenarios.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in STATEMENTS.items()} | {name: sql for name, (*_, sql) in WRITES.items() if sql}
+    return {name: sql for name, (_, sql) in STATEMENTS.items()} | {"agg_types": AGG_TYPES} | {name: sql for name, (*_, sql) in WRITES.items() if sql} | scenarios.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

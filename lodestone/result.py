@@ -33,12 +33,15 @@ class Result:
 
 @dataclass
 class Rows(Result):
-    """Rows that are computed when they are asked for; `df` has positional column names, `frame()` the headers."""
+    """Rows that are computed when they are asked for; `df` has positional column names, `frame()` the headers. Rows of
+    stored tables come in insertion order from `rows()`; `frame()` doesn't sort for that."""
 
     df: DataFrame | None = None
+    shown_df: DataFrame | None = None  # in the order in which rows are shown
     fields: list[Field] = field(default_factory=list)
     check: object = None  # runs before the first rows come
-    scanned: object = None  # counts what was read, on request
+    scanned: object = None  # counts what was read
+    count_always: bool = False  # or only on request
 
     def frame(self) -> DataFrame:
         if self.check:
@@ -52,8 +55,10 @@ class Rows(Result):
     def rows(self) -> list[tuple]:
         if self.check:
             self.check()
-        out = [tuple(r) for r in self.df.collect()]
+        out = [tuple(r) for r in self.shown_df.collect()]
         self.stats.rows_returned = len(out)
+        if self.count_always:
+            self.count_scanned()
         return out
 
     def count_scanned(self) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import os
 import re
 import threading
@@ -23,6 +24,7 @@ from .sources.filesystem import Files
 from .sources.store import FORMAT, MANIFEST
 
 API_VERSION = "v1"
+LOG = logging.getLogger(__name__)
 _NAME = re.compile(r"[A-Za-z0-9_-]+")
 
 
@@ -146,17 +148,17 @@ class Service:
 
     # -- statements
 
-    def _locked(self, h: Handle, action):
-        if not h.lock.acquire(timeout=self.config.timeout_s):
-            raise HttpError(408, "REQUEST_TIMEOUT", "The database is busy")
+    def _locked(self, h: Handle, action, timeout_ms: int | None = None):
+        if not h.lock.acquire(timeout=self.config.timeout_s if timeout_ms is None else timeout_ms / 1000):
+            raise HttpError(400, "TIMEOUT", "The database is busy")
         try:
             return action(h.database)
         finally:
             h.lock.release()
 
-    def execute(self, name: str, sql: str) -> dict:
+    def execute(self, name: str, sql: str, timeout_ms: int | None = None) -> dict:
         statement = self._stateless(sql)
-        return self._locked(self.handle(name), lambda db: db.run(statement).to_json())
+        return self._locked(self.handle(name), lambda db: db.run(statement).to_json(), timeout_ms)
 
     @staticmethod
     def _stateless(sql: str) -> ast.Statement:
@@ -165,12 +167,12 @@ class Service:
             raise HttpError(400, "TRANSACTION_REQUIRES_SESSION", "Transactions need a session")
         return statement
 
-    def batch(self, statements: list[str]) -> dict:
+    def batch(self, statements: list[str], timeout_ms: int | None = None) -> dict:
         """In order, until one fails; those before it stay."""
         done: list[dict] = []
         for i, sql in enumerate(statements):
             try:
-                done.append(self.execute(self.config.database, sql))
+                done.append(self.execute(self.config.database, sql, timeout_ms))
             except (DialectError, HttpError) as e:
                 return {"results": done, "failed_at": i, "error": {"code": e.code, "message": str(e)}}
         return {"results": done}
@@ -195,14 +197,14 @@ class Service:
     def end(self, key: str, name: str | None) -> dict:
         h = self.session(key, name)
         if h.database.in_transaction:
-            raise HttpError(409, "SESSION_IN_TRANSACTION", "The session's transaction is open")
+            raise HttpError(409, "SESSION_HAS_ACTIVE_TRANSACTION", "The session's transaction is open")
         with self.guard:
             self.sessions.pop(key, None)
         return {"session_id": key, "deleted": True}
 
-    def in_session(self, key: str, name: str | None, sql: str) -> dict:
+    def in_session(self, key: str, name: str | None, sql: str, timeout_ms: int | None = None) -> dict:
         statement = parse(sql)
-        out = self._locked(self.session(key, name), lambda db: db.run(statement).to_json())
+        out = self._locked(self.session(key, name), lambda db: db.run(statement).to_json(), timeout_ms)
         if isinstance(statement, ast.Transaction) and statement.action != "begin":
             self.counts["transactions_committed" if statement.action == "commit" else "transactions_rolled_back"] += 1
         return out
@@ -217,6 +219,15 @@ class Service:
                 raise HttpError(400, "INVALID_REQUEST", "The body needs 'sql'")
             return body["sql"]
 
+        def wait(body: dict) -> int | None:
+            """`timeout_ms` of a request; its `idempotency_key` goes to the log, repeated writes run again."""
+            if body.get("idempotency_key") is not None:
+                LOG.info("idempotency key %r", str(body["idempotency_key"]))
+            found = body.get("timeout_ms")
+            if found is not None and (not isinstance(found, int) or isinstance(found, bool) or found < 0):
+                raise HttpError(400, "INVALID_REQUEST", "'timeout_ms' is a number of milliseconds")
+            return found
+
         def statements(body: dict) -> list[str]:
             found = body.get("statements")
             if not isinstance(found, list) or not all(isinstance(x, str) for x in found):
@@ -235,20 +246,20 @@ class Service:
             ("DELETE", "/databases/([^/]+)", lambda m, b: self.drop(m[1])),
             ("GET", "/databases/([^/]+)/export", lambda m, b: self._locked(self.handle(m[1]), lambda db: db.export_json())),
             ("POST", "/databases/([^/]+)/import", lambda m, b: self.import_(m[1], b.get("package", b), bool(b.get("overwrite")))),
-            ("POST", "/databases/([^/]+)/execute", lambda m, b: self.execute(m[1], sql(b))),
+            ("POST", "/databases/([^/]+)/execute", lambda m, b: self.execute(m[1], sql(b), wait(b))),
             ("POST", "/databases/([^/]+)/session", lambda m, b: self.start(m[1])),
             ("DELETE", "/databases/([^/]+)/session/([^/]+)", lambda m, b: self.end(m[2], m[1])),
-            ("POST", "/databases/([^/]+)/session/([^/]+)/execute", lambda m, b: self.in_session(m[2], m[1], sql(b))),
+            ("POST", "/databases/([^/]+)/session/([^/]+)/execute", lambda m, b: self.in_session(m[2], m[1], sql(b), wait(b))),
             ("GET", "/config", lambda m, b: self.config.shown()),
             ("GET", "/metrics", lambda m, b: self.counts | {"sessions_open": len(self.sessions)}),
             ("GET", "/debug/catalog", lambda m, b: admin(lambda db: db.catalog_json())),
             ("GET", "/debug/storage", lambda m, b: admin(lambda db: db.storage_json())),
             ("POST", "/checkpoint", lambda m, b: admin(lambda db: db.checkpoint().to_json())),
-            ("POST", "/execute", lambda m, b: self.execute(default, sql(b))),
-            ("POST", "/batch", lambda m, b: self.batch(statements(b))),
+            ("POST", "/execute", lambda m, b: self.execute(default, sql(b), wait(b))),
+            ("POST", "/batch", lambda m, b: self.batch(statements(b), wait(b))),
             ("POST", "/session", lambda m, b: self.start(default)),
             ("DELETE", "/session/([^/]+)", lambda m, b: self.end(m[1], None)),
-            ("POST", "/session/([^/]+)/execute", lambda m, b: self.in_session(m[1], None, sql(b))),
+            ("POST", "/session/([^/]+)/execute", lambda m, b: self.in_session(m[1], None, sql(b), wait(b))),
         ]
 
     def call(self, method: str, path: str, body: dict, token: str | None) -> tuple[int, dict]:

@@ -58,6 +58,9 @@ class Files:
     def delete(self, name: str) -> bool:
         return self.fs.delete(self._path(name), True)
 
+    def size(self, name: str) -> int:
+        return self.fs.getContentSummary(self._path(name)).getLength()
+
     def names(self, name: str = "") -> list[str]:
         if not self.exists(name):
             return []

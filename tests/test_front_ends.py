@@ -47,7 +47,7 @@ def test_sessions_batch_and_errors(service):
     run = lambda sql: call(service, "POST", f"/session/{key}/execute", {"sql": sql})
     run("begin")
     run("insert into b values (5)")
-    assert call(service, "DELETE", f"/session/{key}")[1]["error"]["code"] == "SESSION_IN_TRANSACTION"
+    assert call(service, "DELETE", f"/session/{key}")[1]["error"]["code"] == "SESSION_HAS_ACTIVE_TRANSACTION"
     assert run("commit")[0] == 200 and call(service, "DELETE", f"/session/{key}")[0] == 200
     assert call(service, "POST", "/execute", {"sql": "select id from b order by id"})[1]["rows"] == [[1], [5]]
     assert call(service, "DELETE", f"/session/{key}")[0] == 404 and call(service, "GET", "/nope")[0] == 404

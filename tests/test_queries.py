@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from lodestone import queries as q
+from lodestone import scenarios
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
@@ -25,7 +26,7 @@ def norm(rows, names):
     return sorted(([round(r[i], 6) if isinstance(r[i], float) else r[i] for i in at] for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(q.STATEMENTS))
+@pytest.mark.parametrize("name", sorted({*q.STATEMENTS, "agg_types", *scenarios.queries()}))
 def test_statement(spark, duck, name):
     df, want = q.queries()[name](spark, DIR), duck.sql(q.oracle_sql()[name])
     assert sorted(df.columns) == sorted(want.columns)

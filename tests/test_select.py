@@ -5,30 +5,30 @@ import pytest
 from lodestone.errors import AmbiguousColumn, DialectError, TypeMismatch, UnknownColumn, UnknownTable
 from lodestone.session import Analytics
 
-ROWS = [(1, "ram", "ny", 20), (2, "ravi", None, 20), (3, "amir", "la", 16), (4, "rom", "ny", None), (5, None, "a[b", 40)]
+ROWS = [(1, "opal", "bay", 31), (2, "otter", None, 31), (3, "sepal", "cape", 12), (4, "oval", "bay", None), (5, None, "d[e", 58)]
 
 
 @pytest.fixture(scope="module")
 def a(spark):
     out = Analytics(spark)
-    out.register_frame("users", spark.createDataFrame(ROWS, "id long, name string, city string, age long"))
-    out.register_frame("profiles", spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n")], "user_id long, tag string"))
+    out.register_frame("things", spark.createDataFrame(ROWS, "id long, label string, spot string, mass long"))
+    out.register_frame("marks", spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n")], "thing_id long, mark string"))
     out.register_frame("nums", spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, None)], "k long, v long"))
     out.register_frame("texts", spark.createDataFrame([("a",)], "id string"))
     return out
 
 
 def ids(a, where):
-    return sorted(r[0] for r in a.execute(f"select id from users where {where}").rows())
+    return sorted(r[0] for r in a.execute(f"select id from things where {where}").rows())
 
 
 @pytest.mark.parametrize(
     "where,want",
     [
-        ("city = null", [2]), ('city != "ny"', [2, 3, 5]), ("city in (la, null)", [2, 3]), ('city in ("")', []), ("age > 18", [1, 2, 5]), ("age <= 20", [1, 2, 3]), ("age > null", []),
-        ('name like "ra*"', [1, 2]), ('name like "*ir"', [3]), ('name like "*av*"', [2]), ('name like "r?m"', [1, 4]), ('name like "*"', [1, 2, 3, 4]), ('name like "r*m"', [1, 4]), ('city like "a[b"', [5]),
-        ('city like "?[?"', [5]), ("name is null", [5]), ("city is not null and age is not null", [1, 3, 5]), ('(age gte 18 and city = "la") or city = "ny"', [1, 4]), ("id <> 1 and id lt 4", [2, 3]),
-        ("users.id = 2", [2]),
+        ("spot = null", [2]), ('spot != "bay"', [2, 3, 5]), ("spot in (cape, null)", [2, 3]), ('spot in ("")', []), ("mass > 30", [1, 2, 5]), ("mass <= 31", [1, 2, 3]), ("mass > null", []),
+        ('label like "o*"', [1, 2, 4]), ('label like "*al"', [1, 3, 4]), ('label like "*pa*"', [1, 3]), ('label like "o??l"', [1, 4]), ('label like "*"', [1, 2, 3, 4]), ('label like "o*l"', [1, 4]), ('spot like "d[e"', [5]),
+        ('spot like "?[?"', [5]), ("label is null", [5]), ("spot is not null and mass is not null", [1, 3, 5]), ('(mass gte 30 and spot = "cape") or spot = "bay"', [1, 4]), ("id <> 1 and id lt 4", [2, 3]),
+        ("things.id = 2", [2]), ("mass > 30 or spot = null", [1, 2, 5]), ('label like "s*" or mass < 40', [1, 2, 3]), ("mass in (12, null)", [3, 4]),
     ],
 )
 def test_predicates(a, where, want):
@@ -36,9 +36,9 @@ def test_predicates(a, where, want):
 
 
 def test_predicate_errors(a):
-    for where, error in (("nope = 1", UnknownColumn), ('name > "a"', TypeMismatch), ("id like 1", TypeMismatch), ("id = x", TypeMismatch), ("ID = 1", UnknownColumn)):
+    for where, error in (("nope = 1", UnknownColumn), ('label > "a"', TypeMismatch), ("id like 1", TypeMismatch), ("id = x", TypeMismatch), ("ID = 1", UnknownColumn)):
         with pytest.raises(error):
-            a.execute(f"select id from users where {where}")
+            a.execute(f"select id from things where {where}")
     with pytest.raises(UnknownTable):
         a.execute("select * from nothing")
 
@@ -46,15 +46,15 @@ def test_predicate_errors(a):
 def test_random_conditions(a):
     """Random trees against a small evaluator of the NULL rules."""
     r = random.Random(4)
-    cols = {"id": 0, "name": 1, "city": 2, "age": 3}
+    cols = {"id": 0, "label": 1, "spot": 2, "mass": 3}
 
     def leaf():
         c = r.choice(list(cols))
-        if c in ("id", "age"):
-            op, v = r.choice(["=", "!=", ">", "<", ">=", "<="]), r.choice([1, 3, 16, 20, 99])
+        if c in ("id", "mass"):
+            op, v = r.choice(["=", "!=", ">", "<", ">=", "<="]), r.choice([1, 3, 12, 31, 99])
             rule = {"=": lambda x: x == v, "!=": lambda x: x != v, ">": lambda x: x is not None and x > v, "<": lambda x: x is not None and x < v, ">=": lambda x: x is not None and x >= v, "<=": lambda x: x is not None and x <= v}[op]
             return f"{c} {op} {v}", lambda row: rule(row[cols[c]])
-        v = r.choice(["ny", "ram", None])
+        v = r.choice(["bay", "opal", None])
         op = r.choice(["=", "!="])
         return f"{c} {op} {v or 'null'}", lambda row: (row[cols[c]] == v) == (op == "=")
 
@@ -70,14 +70,14 @@ def test_random_conditions(a):
 
 
 def test_joins(a):
-    out = a.execute("select id, tag from users join profiles on id = user_id order by id, tag")
-    assert out.headers == ["users.id", "profiles.tag"] and out.rows() == [(1, "x"), (1, "y"), (3, "z")]
-    left = a.execute("select users.id, tag from users left join profiles on profiles.user_id = users.id order by id desc, tag")
+    out = a.execute("select id, mark from things join marks on id = thing_id order by id, mark")
+    assert out.headers == ["things.id", "marks.mark"] and out.rows() == [(1, "x"), (1, "y"), (3, "z")]
+    left = a.execute("select things.id, mark from things left join marks on marks.thing_id = things.id order by id desc, mark")
     assert left.rows() == [(5, None), (4, None), (3, "z"), (2, None), (1, "x"), (1, "y")]
-    assert a.execute('select id from users left join profiles on id = user_id where tag != "x" order by id').rows() == [(1,), (2,), (3,), (4,), (5,)]
+    assert a.execute('select id from things left join marks on id = thing_id where mark != "x" order by id').rows() == [(1,), (2,), (3,), (4,), (5,)]
     for sql, error in (
-        ("select * from users join users on id = id", DialectError), ("select * from users join profiles on id = name", DialectError), ("select nope from users join profiles on id = user_id", UnknownColumn),
-        ("select users.id from users join texts on users.id = texts.id", TypeMismatch), ("select id from users join texts on users.name = texts.id", AmbiguousColumn),
+        ("select * from things join things on id = id", DialectError), ("select * from things join marks on id = label", DialectError), ("select nope from things join marks on id = thing_id", UnknownColumn),
+        ("select things.id from things join texts on things.id = texts.id", TypeMismatch), ("select id from things join texts on things.label = texts.id", AmbiguousColumn),
     ):
         with pytest.raises(error):
             a.execute(sql)
@@ -92,26 +92,26 @@ def test_aggregates(a):
     assert a.execute("select v, count(*) as n from nums group by v order by n desc, v").rows() == [(2, 2), (None, 1), (1, 1)]
     assert a.execute("select k from nums group by k having k in (2) ").rows() == [(2,)]
     assert a.execute("select k, count(*) from nums group by k having count(*) > 1").rows() == [(1, 3)]
-    for sql in ("select k, v from nums group by k", "select * from nums group by k", "select sum(name) from users", "select k, count(*) as n from nums group by k having count(*) > 1"):
+    for sql in ("select k, v from nums group by k", "select * from nums group by k", "select sum(label) from things", "select k, count(*) as n from nums group by k having count(*) > 1"):
         with pytest.raises(DialectError):
             a.execute(sql)
 
 
 def test_distinct_order_limit(a):
-    assert a.execute("select distinct age from users order by age").rows() == [(None,), (16,), (20,), (40,)]
-    assert a.execute("select city from users order by city desc").rows() == [("ny",), ("ny",), ("la",), ("a[b",), (None,)]
-    assert a.execute("select id as x from users order by x desc limit 2 offset 1").rows() == [(4,), (3,)]
-    assert a.execute("select id from users order by age, id offset 4").rows() == [(5,)]
-    assert a.execute("select id from users limit 0").rows() == []
-    assert a.execute("select id, id as again from users order by id limit 1").rows() == [(1, 1)]
+    assert a.execute("select distinct mass from things order by mass").rows() == [(None,), (12,), (31,), (58,)]
+    assert a.execute("select spot from things order by spot desc").rows() == [("d[e",), ("cape",), ("bay",), ("bay",), (None,)]
+    assert a.execute("select id as x from things order by x desc limit 2 offset 1").rows() == [(4,), (3,)]
+    assert a.execute("select id from things order by mass, id offset 4").rows() == [(5,)]
+    assert a.execute("select id from things limit 0").rows() == []
+    assert a.execute("select id, id as again from things order by id limit 1").rows() == [(1, 1)]
     with pytest.raises(UnknownColumn):
-        a.execute("select distinct city from users order by age")
+        a.execute("select distinct spot from things order by mass")
 
 
 def test_text_and_wire(a):
-    out = a.execute("select id, city from users where id lte 2 order by id")
-    assert out.text() == "id\tcity\n1\tny\n2\tnull"
-    assert out.to_json()["rows"] == [[1, "ny"], [2, None]] and out.stats.rows_returned == 2 and out.count_scanned() == 5
+    out = a.execute("select id, spot from things where id lte 2 order by id")
+    assert out.text() == "id\tspot\n1\tbay\n2\tnull"
+    assert out.to_json()["rows"] == [[1, "bay"], [2, None]] and out.stats.rows_returned == 2 and out.count_scanned() == 5
 
 
 def test_pushdown(spark, tmp_path):

@@ -121,28 +121,30 @@ def test_no_action_waits_for_the_end(db):
 
 
 def test_transactions_and_conflicts(spark, db):
-    fill(db, "create table a (id int, v int)", "create table b (id int, v int)", "insert into a values (1, 10)", "insert into b values (1, 100)")
-    other = Database(spark, db.path)
-    fill(db, "begin", "update a set v = 11 where id = 1")
-    assert rows(other, "select v from a") == [(10,)] and rows(db, "select v from a") == [(11,)]
-    with pytest.raises(e.TransactionError):
-        db.execute("begin")
-    with pytest.raises(e.TransactionError):
-        db.execute("create table z (a int)")
-    other.execute("update b set v = 101 where id = 1")
+    fill(db, "create table stock (item text primary key, pieces int)", "create table prices (item text, cents int)", *[f"insert into stock values ({i}, {n})" for i, n in (("rope", 3), ("lamp", 8))], "insert into prices values (rope, 250)")
+    clerk = Database(spark, db.path)
+    left = "select pieces from stock where item = rope"
+    fill(db, "begin", "update stock set pieces = 2 where item = rope", "insert into stock values (tent, 1)")
+    assert (rows(clerk, left), rows(db, left)) == ([(3,)], [(2,)]) and len(rows(clerk, "select item from stock")) == 2
+    for refused in ("begin", "create table more (a int)", "create index on stock (pieces)"):
+        with pytest.raises(e.TransactionError):
+            db.execute(refused)
+    clerk.execute("update prices set cents = 275 where item = rope")
     db.execute("commit")
-    assert rows(db, "select v from b") == [(101,)] and rows(other, "select v from a") == [(11,)]  # neither lost the other's work
-    fill(db, "begin", "delete from a where id = 1")
-    other.execute("insert into a values (2, 20)")
+    assert rows(db, "select cents from prices") == [(275,)] and rows(clerk, left) == [(2,)]  # neither lost the other's work
+    fill(db, "begin", "delete from stock where item = lamp")
+    clerk.execute("update stock set pieces = 7 where item = lamp")
     with pytest.raises(e.Conflict):
         db.execute("commit")
-    assert rows(db, "select * from a order by id") == [(1, 11), (2, 20)]
-    fill(db, "begin", "insert into a values (3, 30)", "rollback")
-    assert len(rows(db, "select id from a")) == 2
-    with pytest.raises(e.TransactionError):
-        db.execute("commit")
-    with pytest.raises(e.TypeMismatch):
-        fill(db, "begin", "insert into a values (x, 1)")
+    assert rows(db, "select * from stock order by item") == [("lamp", 7), ("rope", 2), ("tent", 1)] and not db.in_transaction
+    fill(db, "begin", "delete from stock where pieces > 0", "rollback")
+    assert len(rows(db, "select item from stock")) == 3
+    for late in ("commit", "rollback"):
+        with pytest.raises(e.TransactionError):
+            db.execute(late)
+    db.execute("begin")
+    with pytest.raises(e.UniqueViolation):
+        db.execute("insert into stock values (tent, 5)")
     assert db.in_transaction  # a failed statement leaves the transaction open
 
 
