@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -48,11 +51,15 @@ def kind_of(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names (all executors share it), or one of our own where that is unset."""
+    """The folder that spark.checkpoint.dir names (all executors share it). Where that is unset and all of Spark is one
+    process, as in tests, a temporary folder; on a cluster, an error."""
     context = spark.sparkContext
     where = context._jsc.sc().getCheckpointDir()
     if where.isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
         where = context._jsc.sc().getCheckpointDir()
     return where.get()
 
@@ -63,11 +70,24 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder, and read again; for whole texts, which a checkpoint would not compress."""
+def written(df: DataFrame) -> str:
+    """The path of `df` as Parquet in the shared folder; for rows that a checkpoint, which compresses nothing, would store at length."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: a writer holds one in memory
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what `written` wrote, when nothing reads it any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to, which it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+    time.sleep(1)  # the cleaner works beside us; what comes next should find the room free
 
 
 def text_of(name: str = "text") -> Column:

@@ -142,7 +142,7 @@ def prepared(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [sh.shingle_set(t) for t in part.column(2).to_pylist()]
+                sets = sh.shingle_sets(part.column(2).to_pylist())
                 has = [i for i, s in enumerate(sets) if len(s)]
                 entry, short, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if has:
@@ -240,7 +240,7 @@ def links(docs: DataFrame, ready: DataFrame, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [sh.shingle_set(t).tobytes() for t in part.column(0).to_pylist()]
+                sets = [x.tobytes() for x in sh.shingle_sets(part.column(0).to_pylist())]
                 yield pa.record_batch([pa.array(sets, pa.binary()), *[part.column(i) for i in range(1, 5)]], names=["set", "entry", "copies", "root", "m"])
 
     sets = met.select("text", "entry", "copies", "root", "m").mapInArrow(cut, "set binary, entry binary, copies long, root long, m long")

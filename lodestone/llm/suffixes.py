@@ -12,50 +12,53 @@ with one anchor are a run; only runs whose anchor occurs again can hold a repeat
    its distinct windows by ranges, and shards are merged range by range with binary search.
 4. The reported intervals of a row are joined and cut out.
 
+`passages` uses the same steps on streams of words (TOKEN bytes a word), to find documents with PASSAGE words in a row that
+another document has too, however they are written (case, blanks, marks).
+
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; null doc_id is kept; equal rows are
-copies and lose all their long strings alike; an empty table gives an empty result; other columns are ignored.
+copies and lose all their long strings alike, but are one document to `passages`; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, kind_of, pick, row_key, settled, text_of
-from .shingles import mixed
+from .common import by_size, kind_of, pick, released, removed, row_key, settled, text_of, written
+from .shingles import mixed, powers, word_hashes
 
 LENGTH = 400
 GRAM = 128
+#: Bytes of a word in a stream, words of a passage, and words of an anchor in one.
+TOKEN, PASSAGE, PASSAGE_GRAM = 3, 51, 12
 #: Bytes that one suffix array takes, and runs of one anchor in a shard.
-SHARD_BYTES = 1_000_000
-SHARD_RUNS = 3_000
+SHARD_BYTES = 400_000
+SHARD_RUNS = 1_000
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _BASE2 = np.uint64(0x2545F4914F6CDD1D)
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse for i < n, modulo 2 ** 64."""
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+class Sums:
+    """Running sums of a polynomial over bytes, which give a hash of any stretch. Two different stretches of under 1024
+    bytes that a text may hold have one hash by chance alone; longer ones are not asked for."""
+
+    def __init__(self, data: np.ndarray, base: np.uint64 = _BASE):
+        size = 1 << max(20, (len(data) + 1).bit_length())
+        up, self.down = powers(int(base), size)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.total[1:])
 
+    def grams(self, n: int) -> np.ndarray:
+        """Of the n bytes from each place."""
+        return mixed((self.total[n:] - self.total[: len(self.total) - n]) * self.down[: len(self.total) - n])
 
-def gram_hashes(data: np.ndarray, n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """A mixed polynomial hash of the n bytes from each place."""
-    size = 1 << max(20, (len(data) + 1).bit_length())
-    up, down = _powers(int(base), size)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mixed((total[n:] - total[: len(total) - n]) * down[: len(data) - n + 1])
+    def stretches(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.total[end] - self.total[first]) * self.down[first])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -68,30 +71,29 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, first window, last window, anchor, digest) of each run of windows with one anchor."""
-    whole = b"".join(texts)
-    if len(whole) < length:
-        return
-    data = np.frombuffer(whole, np.uint8)
-    h = gram_hashes(data, gram)
-    place = np.arange(len(h), dtype=np.uint64)
+def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """text, first window, last window, anchor and digest of each run of windows with one anchor, as arrays in order. A run has
+    at most 2 * length - gram bytes, as its anchor is inside of all its windows."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    windows = np.maximum(sizes - length + 1, 0)
+    if not windows.any():
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    sums = Sums(np.frombuffer(b"".join(texts), np.uint8))
+    h = sums.grams(gram)
     low = np.uint64(0xFFFFFFFF)
-    least = sliding_min((h & ~low) | (low - place), length - gram + 1)
+    least = sliding_min((h & ~low) | (low - np.arange(len(h), dtype=np.uint64)), length - gram + 1)
     chosen = (low - (least & low)).astype(np.int64)
-    edges = np.flatnonzero(np.diff(chosen, prepend=-1))
-    start = 0
-    for k, t in enumerate(texts):
-        last = start + len(t) - length  # last window of the text
-        if last >= start:
-            a, b = np.searchsorted(edges, start, side="right"), np.searchsorted(edges, last, side="right")
-            firsts = [start, *edges[a:b].tolist()]
-            anchors = h[chosen[firsts]].astype(np.int64).tolist()
-            at = chosen[firsts].tolist()
-            ends = [*[x - 1 for x in firsts[1:]], last]
-            for lo, hi, anchor, c in zip(firsts, ends, anchors, at):
-                yield k, lo - start, hi - start, anchor, xxhash.xxh3_64_intdigest(whole[lo : hi + length], seed=c - lo) - (1 << 63)
-        start += len(t)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(texts)), windows)
+    place = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(windows) - windows), windows)
+    chosen = chosen[place]
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(fresh)
+    first, last, at = place[heads], place[np.append(heads[1:], len(place)) - 1], chosen[heads]
+    digest = mixed(sums.stretches(first, last + length) ^ mixed((at - first).astype(np.uint64)))
+    text = owner[heads]
+    return text, first - starts[text], last - starts[text], h[at].view(np.int64), digest.view(np.int64)
 
 
 def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,48 +104,48 @@ def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     sizes = np.array([len(t) for t in texts])
     starts = np.cumsum(sizes + 1) - sizes - 1
     n = int((sizes + 1).sum())
-    data = np.zeros(n + 8, np.uint8)
-    for s, t in zip(starts.tolist(), texts):
-        data[s : s + len(t)] = np.frombuffer(t, np.uint8)
+    data = np.frombuffer(b"\0".join([*texts, bytes(7)]), np.uint8)
     seps = starts + sizes
-    end = np.repeat(seps, sizes + 1)  # of the text that a place is in
-    left = end - np.arange(n)
+    end = np.repeat(seps, sizes + 1).astype(np.int32)  # of the text that a place is in
+    left = end - np.arange(n, dtype=np.int32)
     key = np.zeros(n, np.uint64)
     for k in range(7):  # nine bits each: a place after the end is less than any byte
-        key = key << np.uint64(9) | np.where(left > k, data[k : n + k] + np.uint64(1), 0).astype(np.uint64)
-    body = np.flatnonzero(left > 0)
-    order = body[np.argsort(key[body], kind="stable")]
-    rank = np.empty(n, np.int64)
+        key <<= np.uint64(9)
+        key |= np.where(left > k, data[k : n + k] + np.uint64(1), np.uint64(0))
+    body = np.flatnonzero(left > 0).astype(np.int32)
+    key = key[body]
+    o = np.argsort(key)
+    order, key = body[o], key[o]
+    rank = np.empty(n, np.int32)
     rank[seps] = np.arange(len(texts))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = key[order[1:]] != key[order[:-1]]
-    head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-    rank[order] = len(texts) + head
-    tied = ~fresh
-    tied[:-1] |= ~fresh[1:]
+    heads, size = _groups(key)
+    rank[order] = len(texts) + np.repeat(heads, size)
+    tied = np.repeat(size > 1, size)
     todo, h = order[tied], 7
     while len(todo):
-        far = np.minimum(todo + h, end[todo])
-        key2 = rank[todo] << np.int64(32) | rank[far]
-        o = np.argsort(key2, kind="stable")
+        key2 = rank[todo].astype(np.int64) << 32 | rank[np.minimum(todo + np.int32(h), end[todo])]
+        o = np.argsort(key2)
         todo, key2 = todo[o], key2[o]
-        index = np.arange(len(todo))
-        group = key2 >> 32
-        old = np.ones(len(todo), bool)
-        old[1:] = group[1:] != group[:-1]
-        new = np.ones(len(todo), bool)
-        new[1:] = key2[1:] != key2[:-1]
-        rank[todo] = group + np.maximum.accumulate(np.where(new, index, 0)) - np.maximum.accumulate(np.where(old, index, 0))
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        todo, h = todo[tied], 2 * h
-    sa = np.empty(n, np.int64)
-    sa[rank] = np.arange(n)
+        group = (key2 >> 32).astype(np.int32)
+        whole, part = _groups(group), _groups(key2)
+        rank[todo] = group + (np.repeat(*part) - np.repeat(*whole)).astype(np.int32)
+        todo, h = todo[np.repeat(part[1] > 1, part[1])], 2 * h
+    sa = np.empty(n, np.int32)
+    sa[rank] = np.arange(n, dtype=np.int32)
     return data[:n], starts, sa, rank
 
 
-def common_prefixes(data: np.ndarray, starts: np.ndarray, sa: np.ndarray, rank: np.ndarray, limit: int) -> np.ndarray:
-    """Bytes that each place's suffix shares with the one before it in the array, up to `limit` or a little more.
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal values."""
+    fresh = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    heads = np.flatnonzero(fresh)
+    return heads, np.diff(heads, append=len(x))
+
+
+def common_prefixes(data: np.ndarray, starts: np.ndarray, sa: np.ndarray, rank: np.ndarray, limit: int, least: int = 0) -> np.ndarray:
+    """Bytes that each place's suffix shares with the one before it in the array, up to `limit`; 0 at places with fewer than
+    `least` bytes to the end of their text.
 
     Kasai's rule (the next place shares one byte less at least), for all texts in step."""
     n, step = len(data), 16
@@ -157,8 +159,8 @@ def common_prefixes(data: np.ndarray, starts: np.ndarray, sa: np.ndarray, rank:
     first, last = starts[order], ends[order]
     size = last - first
     h = np.zeros(len(first), np.int64)
-    for t in range(longest):
-        m = int(np.searchsorted(-size, -t, side="left"))  # texts longer than t
+    for t in range(longest - max(0, least - 1)):
+        m = int(np.searchsorted(-size, -(t + max(0, least - 1)), side="left"))  # texts with `least` bytes from t on
         i = first[:m] + t
         h[:m] = np.maximum(h[:m] - 1, 0)
         r = rank[i]
@@ -180,7 +182,7 @@ def common_prefixes(data: np.ndarray, starts: np.ndarray, sa: np.ndarray, rank:
 def repeated_windows(texts: list[bytes], length: int = LENGTH, owners: list[int] | None = None) -> list[np.ndarray]:
     """For each text, whether each of its windows occurs elsewhere among the texts or in the same text; with `owners`, in a text of another owner."""
     data, starts, sa, rank = suffix_array(texts)
-    lcp = common_prefixes(data, starts, sa, rank, length)
+    lcp = common_prefixes(data, starts, sa, rank, length, length)
     tied = lcp[sa] >= length  # with the suffix before
     heads = np.flatnonzero(~tied)
     if owners is None:
@@ -206,12 +208,17 @@ def _window_digests(text: bytes, length: int) -> np.ndarray:
     """128 bits of each window, as structured values that sort."""
     data = np.frombuffer(text, np.uint8)
     out = np.empty(len(data) - length + 1, dtype=[("a", np.uint64), ("b", np.uint64)])
-    out["a"], out["b"] = gram_hashes(data, length), gram_hashes(data, length, _BASE2)
+    out["a"], out["b"] = Sums(data).grams(length), Sums(data, _BASE2).grams(length)
     return out
 
 
-def _bytes(text: str | bytes) -> bytes:
-    return text.encode("utf-8") if isinstance(text, str) else text
+def plain(texts: list) -> list[bytes]:
+    return [t.encode("utf-8") if isinstance(t, str) else t for t in texts]
+
+
+def words(texts: list[str]) -> list[bytes]:
+    """TOKEN bytes for each word (letters, digits and underscores in a row, lower-cased) of each text."""
+    return [h.view(np.uint8).reshape(-1, 8)[:, :TOKEN].tobytes() for h in word_hashes(texts)]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -225,7 +232,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False) -> DataFrame:
+def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False, form=plain) -> DataFrame:
     """row, lo, hi (first and last window), anchor, digest and own of every run.
 
     Equal runs of one text (periodic text has one for every period) are one row, with the bytes they cover in
@@ -234,40 +241,55 @@ def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            rows, raw = batch.column(0).to_pylist(), [_bytes(t) for t in batch.column(1).to_pylist()]
+            raw = form(batch.column(1).to_pylist())
             for part in by_size(range(len(raw)), map(len, raw), 500_000):
-                found = [(*r, None) for r in runs([raw[i] for i in part], length, gram)]
+                text, lo, hi, anchor, digest = runs([raw[i] for i in part], length, gram)
+                own: list[list[dict] | None] = [None] * len(text)
                 if not across:
-                    equal: dict[tuple, list] = {}
-                    for r in found:
-                        equal.setdefault((r[0], r[3], r[4]), []).append(r)
-                    if len(equal) < len(found):
-                        found = [
-                            x[0] if len(x) == 1 else (*x[0][:5], [{"a": a, "b": b} for a, b in _merged([(lo, hi + length) for _, lo, hi, *_ in x])]) for x in equal.values()
-                        ]
-                cols = list(zip(*found)) or [()] * 6
-                yield pa.record_batch(
-                    [pa.array([rows[part[k]] for k in cols[0]], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:5]], pa.array(cols[5], interval)],
-                    names=["row", "lo", "hi", "anchor", "digest", "own"],
-                )
+                    order = np.lexsort((lo, digest, anchor, text))
+                    keys = [x[order] for x in (text, anchor, digest)]
+                    twin = np.ones(len(order), bool)
+                    twin[:1] = False
+                    for x in keys:
+                        twin[1:] &= x[1:] == x[:-1]
+                    if twin.any():
+                        heads = np.flatnonzero(~twin)
+                        several = np.flatnonzero(np.diff(heads, append=len(order)) > 1)
+                        for k in several.tolist():
+                            same = order[heads[k] : heads[k + 1] if k + 1 < len(heads) else None]
+                            own[same[0]] = [{"a": a, "b": b} for a, b in _merged(list(zip(lo[same].tolist(), (hi[same] + length).tolist())))]
+                        keep = np.sort(order[heads])
+                        text, lo, hi, anchor, digest = (x[keep] for x in (text, lo, hi, anchor, digest))
+                        own = [own[k] for k in keep.tolist()]
+                rows = batch.column(0).take(pa.array(np.asarray(part)[text] if len(text) else [], pa.int64()))
+                yield pa.record_batch([rows, *map(pa.array, (lo, hi, anchor, digest)), pa.array(own, interval)], names=["row", "lo", "hi", "anchor", "digest", "own"])
 
     return docs.select("row", "text").mapInArrow(run, "row binary, lo long, hi long, anchor long, digest long, own array<struct<a:long,b:long>>")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False) -> DataFrame:
-    """row, a, b: byte intervals of `docs` (row, text: string or binary) covered by strings of `length` that occur again, or, `across`, in another row."""
-    every = anchored(docs, length, gram, across)
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False, once: bool = False, form=plain) -> DataFrame:
+    """row, a, b: intervals of the bytes that `form` makes of `docs` (row, text: string or binary) which are covered by strings of `length` that
+    occur again, or, `across`, in another row. `once`: at least one interval of each row that has any; a row with equal runs is not
+    searched further."""
+    spark = docs.sparkSession
+    path = written(anchored(docs, length, gram, across, form))
+    every = spark.read.parquet(path)
     times = F.sum(F.when(F.col("own").isNull(), 1).otherwise(2))
-    # settled, so that the join sees a plain exchange on both sides and can split an anchor that many rows share
+    # what is joined by anchor is settled before, so that the join sees a plain exchange on both sides and can split an anchor that many rows share
     again = settled(every.groupBy("anchor").agg(times.alias("m")).where("m > 1").select("anchor"))
     shared = settled(every.join(again, "anchor"))
+    removed(spark, path)
     copies = F.when(F.min("row") != F.max("row"), 2).otherwise(1).cast("long") if across else times
-    same = shared.groupBy("anchor", "digest").agg(copies.alias("copies"), F.min(F.struct("row", "lo")).alias("rep"))
-    kinds = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    same = settled(same.join(kinds, "anchor"))
+    same = settled(shared.groupBy("anchor", "digest").agg(copies.alias("copies"), F.min(F.struct("row", "lo")).alias("rep")))
+    kinds = settled(same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     whole = shared.join(same.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"]).select("row", F.explode(F.coalesce("own", F.array(F.struct(F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))))).alias("s")).select("row", "s.a", "s.b")
     # one run of each kind stands for its copies; only anchors with several kinds go on
-    reps = same.where("kinds > 1").select("anchor", "digest", "copies", "kinds", "rep.row", "rep.lo")
+    reps = same.join(kinds, "anchor").select("anchor", "digest", "copies", "kinds", "rep.row", "rep.lo")
+    if once:
+        whole = settled(whole)
+        undecided = reps.where("copies = 1").join(whole.select("row").distinct(), "row", "left_anti").select("anchor").distinct()
+        reps = reps.join(settled(undecided), "anchor")
+    released(spark)
     reps = reps.join(shared.groupBy("anchor", "digest").agg(F.min(F.col("hi") - F.col("lo")).alias("more")), ["anchor", "digest"])
     wanted = reps.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "copies", "kinds", "lo", "more")).alias("wanted"))  # one text's runs
 
@@ -276,7 +298,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: boo
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                raw = _bytes(batch.column(1)[k].as_py())
+                raw = form([batch.column(1)[k].as_py()])[0]
                 row, out = batch.column(0)[k].as_py(), []
                 for w in batch.column(2)[k].as_py():
                     shards = -(-w["kinds"] // SHARD_RUNS)
@@ -341,28 +363,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: boo
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def merged(lists: list[tuple[np.ndarray, list[bytes]]]) -> pa.RecordBatch:
-            keys = []
-            for x, _ in lists:
-                k = np.empty(len(x), dtype=[("a", np.uint64), ("b", np.uint64)])
-                k["a"], k["b"] = x["a"], x["b"]
-                keys.append(k)
-            row: list[bytes] = []
-            a: list[int] = []
-            for n, ((x, owners), k) in enumerate(zip(lists, keys)):
-                for m, ((y, others), other) in enumerate(zip(lists, keys)):
-                    if m == n:  # a shard has each window once
-                        continue
-                    at = np.searchsorted(other["a"], k["a"])  # by the first half of the digests, then the second
-                    for i in np.flatnonzero((x["done"] == 0) & (other["a"][np.minimum(at, len(other) - 1)] == k["a"])) if len(other) else ():
-                        j = at[i]
-                        while j < len(other) and other["a"][j] == k["a"][i]:
-                            mine = owners[x["owner"][i]]
-                            if other["b"][j] == k["b"][i] and not (across and others[y["owner"][j]] == mine and not y["done"][j]):
-                                row.append(mine)
-                                a.append(int(x["place"][i]))
-                                break
-                            j += 1
-            return pa.record_batch([pa.array(row, pa.binary()), pa.array(a, pa.int64()), pa.array([x + length for x in a], pa.int64())], names=["row", "a", "b"])
+            names: dict[bytes, int] = {}
+            owners = [np.array([names.setdefault(o, len(names)) for o in theirs], np.int64)[x["owner"]] for x, theirs in lists]
+            tables = [_table(x, o) for (x, _), o in zip(lists, owners)]
+            while len(tables) > 1:
+                tables = [_joined(*tables[i : i + 2]) if i + 1 < len(tables) else tables[i] for i in range(0, len(tables), 2)]
+            table, who, row, a, b = tables[0], list(names), [], [], []
+            for (x, _), o in zip(lists, owners):
+                at = _places(table, x["a"], x["b"])
+                hit = (x["done"] == 0) & ((table["low"][at] != table["high"][at]) | (table["done"][at] != 0) if across else table["shards"][at] > 1)
+                mine, place = o[hit], x["place"][hit]
+                order = np.lexsort((place, mine))
+                mine, place = mine[order], place[order]
+                first = np.ones(len(mine), bool)
+                first[1:] = (mine[1:] != mine[:-1]) | (place[1:] - place[:-1] > length)
+                heads = np.flatnonzero(first)
+                row += [who[k] for k in mine[heads].tolist()]
+                a += place[heads].tolist()
+                b += (place[np.append(heads[1:], len(place)) - 1] + length).tolist() if len(heads) else []
+            return pa.record_batch([pa.array(row, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["row", "a", "b"])
 
         key, lists = None, []
         dtype = [("a", np.uint64), ("b", np.uint64), ("owner", np.int32), ("done", np.int32), ("place", np.int64)]
@@ -377,36 +396,79 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: boo
             yield merged(lists)
 
     split = sorted_out.where("blob is not null").select("anchor", "part", "blob", "owners").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    across = split.mapInArrow(merge, "row binary, a long, b long")
-    return whole.unionByName(inside).unionByName(across)
+    between = split.mapInArrow(merge, "row binary, a long, b long")
+    return whole.unionByName(inside).unionByName(between)
+
+
+def _table(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A shard's windows, which are sorted and different, with the least and greatest owner, whether one is done, and the number of shards."""
+    out = np.empty(len(x), dtype=[("a", np.uint64), ("b", np.uint64), ("low", np.int64), ("high", np.int64), ("done", np.int32), ("shards", np.int32)])
+    out["a"], out["b"], out["low"], out["high"], out["done"], out["shards"] = x["a"], x["b"], owner, owner, x["done"], 1
+    return out
+
+
+def _places(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where the digests (a, b) stand in a sorted table, or would stand: by binary search for the first half, then on to the second."""
+    first, second = np.ascontiguousarray(table["a"]), np.ascontiguousarray(table["b"])
+    at = np.searchsorted(first, a)
+    while True:
+        near = np.minimum(at, len(table) - 1)
+        on = (at < len(table)) & (first[near] == a) & (second[near] < b) if len(table) else np.zeros(len(at), bool)
+        if not on.any():
+            return at
+        at = at + on
+
+
+def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Two tables as one."""
+    if not len(x) or not len(y):
+        return x if len(x) else y
+    at = _places(x, y["a"], y["b"])
+    near = np.minimum(at, len(x) - 1)
+    same = (at < len(x)) & (x["a"][near] == y["a"]) & (x["b"][near] == y["b"])
+    to, twin = at[same], y[same]
+    x["low"][to], x["high"][to] = np.minimum(x["low"][to], twin["low"]), np.maximum(x["high"][to], twin["high"])
+    x["done"][to] |= twin["done"]
+    x["shards"][to] += twin["shards"]
+    return np.insert(x, at[~same], y[~same])
+
+
+def passages(docs: DataFrame, length: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """The rows of `docs` (row, text) that have `length` words in a row which another row has too."""
+    return repeats(docs, length * TOKEN, gram * TOKEN, across=True, once=True, form=words).select("row").distinct()
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text bytes kept, the removed intervals and the number of bytes of every row."""
+    """doc_id, n_bytes, the bytes kept, the removed intervals, and whether a passage of over 50 words stands in another document too."""
     docs = pick(docs, "doc_id", "text").select("doc_id", row_key("doc_id", "text").alias("row"), text_of().alias("text"))
-    spans = repeats(docs, length, gram).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    shared = settled(passages(docs).withColumn("repeated", F.lit(1)))
+    released(docs.sparkSession)
+    spans = settled(repeats(docs, length, gram).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    released(docs.sparkSession)
+    both = spans.join(shared, "row", "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                kept, removed, size = [], [], []
+                kept, gone, size = [], [], []
                 for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     raw, joined, out, at = text.encode("utf-8"), _merged([(s["a"], s["b"]) for s in spans or ()]), [], 0
                     for a, b in joined:
                         out.append(raw[at:a])
                         at = b
                     kept.append(b"".join([*out, raw[at:]]))
-                    removed.append([{"a": a, "b": b} for a, b in joined])
+                    gone.append([{"a": a, "b": b} for a, b in joined])
                     size.append(len(raw))
-                yield pa.record_batch([part.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["doc_id", "n_bytes", "kept", "removed"])
+                yield pa.record_batch([part.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(gone, kind), part.column(3)], names=["doc_id", "n_bytes", "kept", "removed", "repeated"])
 
-    return docs.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, n_bytes long, kept binary, removed array<struct<a:long,b:long>>")
+    schema = f"doc_id {kind_of(docs, 'doc_id')}, n_bytes long, kept binary, removed array<struct<a:long,b:long>>, repeated int"
+    return docs.join(both, "row", "left").select("doc_id", "text", "spans", F.coalesce("repeated", F.lit(0)).alias("repeated")).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; repeated is 1 where a passage of over 50 words stands in another document too."""
     out = deduplicated(docs)
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "repeated")

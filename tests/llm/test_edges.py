@@ -10,7 +10,7 @@ DOCS = [(1, "plain words of a short text here", "en"), (1, "plain words of a sho
 CLASH = ("row", "spans", "entry", "length", "TEXT", "rank", "score", "tokens")
 
 OPERATORS = {
-    "suffixes": (suffixes.digests, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
+    "suffixes": (suffixes.digests, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated"]),
     "secrets": (secrets.secrets, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]),
     "packing": (packing.pack_documents, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]),
     "jaccard": (jaccard.classes, ["doc_id", "class_id", "n_links"]),
@@ -57,6 +57,7 @@ def test_jaccard_edges(edge_docs):
 def test_suffix_edges(edge_docs):
     got = {r["doc_id"]: r for r in suffixes.digests(edge_docs).collect() if r["doc_id"]}
     assert got[3]["n_removed"] == got[4]["n_removed"] == len(LONG) and got[3]["n_spans"] == 1 and got[2]["n_bytes"] == 0
+    assert [got[i]["repeated"] for i in (1, 2, 3, 4)] == [0, 0, 1, 1]
 
 
 def test_toxicity_edges(spark, edge_docs):

@@ -59,6 +59,56 @@ def test_repeated_strings(spark, monkeypatch, runs):
         assert [(x["a"], x["b"]) for x in got[i]["removed"]] == list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+@pytest.mark.parametrize("runs", [3000, 2])
+def test_passages(spark, monkeypatch, runs):
+    """Documents with 51 words in a row that another has too, however they are written; in one document, or with 50 words, nothing."""
+    monkeypatch.setattr(suffixes, "SHARD_RUNS", runs)
+    r = random.Random(runs)
+    pool = [words(r, n, "abcdefghij") for n in (49, 50, 51, 52, 60, 75, 140)]
+    rows = []
+    for i in range(60):
+        parts = [x for _ in range(r.randint(0, 3)) for x in (words(r, r.randint(0, 30), "klmnopqrst"), r.choice(pool))]
+        flat = [w for p in parts for w in p]
+        rows.append((i, r.choice([" ", "  ", ", ", "\n"]).join(w.upper() if r.random() < 0.2 else w for w in flat)))
+    twice = " ".join(words(r, 80, "uvwxyz"))
+    rows += [(100, twice + ". " + twice), (101, "la " * 200), (102, "la " * 60), (103, " ".join(["ha"] * 300)), (104, ""), (105, rows[3][1]), (105, rows[3][1])]
+    of = [re.findall(r"\w+", t.lower()) for _, t in rows]
+    owners = {}
+    for k, w in enumerate(of):
+        for i in range(len(w) - 50):
+            owners.setdefault(tuple(w[i : i + 51]), set()).add(rows[k])
+    want = {}
+    for k, w in enumerate(of):
+        covered = np.zeros(len(w), bool)
+        for i in range(len(w) - 50):
+            if len(owners[tuple(w[i : i + 51])]) > 1:
+                covered[i : i + 51] = True
+        want[rows[k][0]] = int(covered.sum())
+    got = {x["doc_id"]: x["repeated"] for x in suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(n > 0) for i, n in want.items()} and sum(n > 0 for n in want.values()) > 10 and want[100] == want[103] == 0 and want[102] == 60
+
+
+def test_tables_of_windows_join():
+    r = np.random.default_rng(4)
+    lists = []
+    for owner in range(7):
+        keys = np.unique(r.integers(0, 40, (30, 2)).astype(np.uint64), axis=0)  # first halves tie often
+        x = np.zeros(len(keys), dtype=[("a", np.uint64), ("b", np.uint64), ("done", np.int32)])
+        x["a"], x["b"] = keys[:, 0] // 4, keys[:, 1]
+        x = np.unique(x)
+        lists.append((x, np.full(len(x), owner)))
+    table = suffixes._table(*lists[0])
+    for x, owner in lists[1:]:
+        table = suffixes._joined(table, suffixes._table(x, owner))
+    want = {}
+    for x, owner in lists:
+        for a, b in zip(x["a"].tolist(), x["b"].tolist()):
+            want.setdefault((a, b), []).append(int(owner[0]))
+    assert [(a, b) for a, b in zip(table["a"].tolist(), table["b"].tolist())] == sorted(want)
+    assert [(lo, hi, n) for lo, hi, n in zip(table["low"].tolist(), table["high"].tolist(), table["shards"].tolist())] == [(min(v), max(v), len(v)) for _, v in sorted(want.items())]
+    assert suffixes._places(table, table["a"], table["b"]).tolist() == list(range(len(table)))
+
+
 # -- 2
 
 
