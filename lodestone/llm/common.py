@@ -95,6 +95,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """`use(v)`, where `value` is computed once, as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def row_key(*cols: str) -> Column:
     """128 bits that name a row by its content: equal rows have equal keys, nulls are their own value."""
     parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols]

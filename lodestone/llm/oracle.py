@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontamination import LEAST_TOKENS, MASKS, SHARE, SPAN
 from .jaccard import THRESHOLD
-from .secrets import ACCESS, ACCESS_LEAST, ALLOWED, ASSIGN, ASSIGN_LEAST, CLASSES, HEX
+from .secrets import ACCESS, ACCESS_LEAST, ALLOWED, ASSIGN, ASSIGN_LEAST, CLASSES, HEX, SEQUENCES
 from .shingles import WORDS
 
 
@@ -12,25 +12,35 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _spans(pattern: str, kind: str, order: int, keep: str) -> str:
+def _spans(pattern: str, kind: str, order: int, keep: str, source: str = "d") -> str:
     """Spans of a pattern, by what stands between its matches and the matches themselves; `hit` names a match in `keep`."""
     p = _quoted(pattern)
     return f"""select row, {order} as ord, '{kind}' as kind, a, a + length(hit) as b, hit from (
         select row, hit, cast(sum(length(gap) + length(hit)) over (partition by row order by k) - length(hit) as bigint) as a from (
-          select row, unnest(regexp_extract_all(text, {p})) as hit, unnest(regexp_split_to_array(text, {p})[:-2]) as gap, unnest(range(len(regexp_extract_all(text, {p})))) as k from d)) where {keep}"""
+          select row, unnest(regexp_extract_all(text, {p})) as hit, unnest(regexp_split_to_array(text, {p})[:-2]) as gap, unnest(range(len(regexp_extract_all(text, {p})))) as k from {source})) where {keep}"""
+
+
+def _blanked(text: str, pattern: str, keep: str) -> str:
+    p = _quoted(pattern)
+    return f"""array_to_string(list_transform(list_zip(regexp_split_to_array({text}, {p}), regexp_extract_all({text}, {p})),
+      lambda z: z[1] || coalesce(case when {keep.replace('hit', 'z[2]')} then repeat(' ', length(z[2])) else z[2] end, '')), '')"""
 
 
 def secrets_sql() -> str:
     hexes, letters = CLASSES["entropy_hex"], CLASSES["entropy_base64"]
-    best = "list_max(list_transform(range(1, length(hit) - {w} + 2), lambda i: list_entropy(string_split(substr(hit, i, {w}), '')))) >= {t}"
+    best = "list_max(list_transform(range(1, length(hit) - {w} + 2), lambda i: list_entropy(string_split(substr(hit, i, {w}), '')))) >= {t} - 1e-9"
     allowed = f"not regexp_matches(hit, {_quoted(ALLOWED)})"
     alone = f"length(hit) >= {hexes[1]} and regexp_full_match(hit, '[0-9A-Fa-f]+')"  # the look-arounds of the pattern ask for whole runs
+    assign, access = f"length(regexp_extract(hit, {_quoted(ASSIGN)}, 2)) >= {ASSIGN_LEAST}", f"length(hit) >= {ACCESS_LEAST}"
+    without = "text"
+    for sequence in SEQUENCES:
+        without = f"replace({without}, '{sequence}', '{' ' * len(sequence)}')"
     return f"""with d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
-      base as ({_spans(ASSIGN, "assign", 0, f"length(regexp_extract(hit, {_quoted(ASSIGN)}, 2)) >= {ASSIGN_LEAST}")}
-        union all {_spans(ACCESS, "access", 1, f"length(hit) >= {ACCESS_LEAST}")}
-        union all {_spans(HEX, "hex", 2, "true")}),
-      runs as ({_spans("[A-Za-z0-9]+", "entropy_hex", 3, alone)} union all {_spans(letters[0], "entropy_base64", 4, "true")}),
-      extra as (select * from runs r where {allowed} and not exists (select 1 from base x where x.row = r.row and x.a < r.b and x.b > r.a)
+      base as ({_spans(ASSIGN, "assign", 0, assign)} union all {_spans(ACCESS, "access", 1, access)} union all {_spans(HEX, "hex", 2, "true")}),
+      d1 as (select row, {_blanked("text", ASSIGN, assign)} as text from d), d2 as (select row, {_blanked("text", ACCESS, access)} as text from d1),
+      d3 as (select row, {_blanked("text", HEX, "hit is not null")} as text from d2), rest as (select row, {without} as text from d3),
+      runs as ({_spans("[A-Za-z0-9]+", "entropy_hex", 3, alone, "rest")} union all {_spans(letters[0], "entropy_base64", 4, "true", "rest")}),
+      extra as (select * from runs r where {allowed}
         and case when kind = 'entropy_hex' then {best.format(w=hexes[1], t=hexes[2])} else {best.format(w=letters[1], t=letters[2])} end),
       n as (select row, sum((kind = 'assign')::int)::bigint as n_assign, sum((kind = 'access')::int)::bigint as n_access, sum((kind = 'hex')::int)::bigint as n_hex,
         string_agg(kind || ':' || a || ':' || b, ',' order by a, ord) as listed from base group by 1),

@@ -119,19 +119,40 @@ def secret_base(t):
     return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
 
 
+def secret_extra(t):
+    """Spans of the method by the definition, window by window."""
+    out = list(t)
+    for rest, keep in ((secrets.ASSIGN, lambda m: len(m.group(2)) >= 12), (secrets.ACCESS, lambda m: len(m.group()) >= 18), (secrets.HEX, lambda m: True)):
+        for m in re.finditer(rest, "".join(out)):
+            if keep(m):
+                out[m.start() : m.end()] = " " * len(m.group())
+    left = "".join(out)
+    for x in secrets.SEQUENCES:
+        left = left.replace(x, " " * len(x))
+    spans = []
+    for order, (kind, (pattern, window, least)) in enumerate(secrets.CLASSES.items()):
+        for m in re.finditer(pattern, left):
+            windows = [m.group()[i : i + window] for i in range(len(m.group()) - window + 1)]
+            best = max(-sum(w.count(c) / window * np.log2(w.count(c) / window) for c in set(w)) for w in windows)
+            if best >= least - 1e-9 and not re.search(secrets.ALLOWED, m.group()):
+                spans.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for *_, s in sorted(spans)]
+
+
 def test_secrets(spark):
     r = random.Random(2)
-    parts = ["token", "PassWord", "api_key", "secret", ": ", "=", " = ", '"', "'", "AKIA", "AKIAABCDEFGHIJ1234", "deadbeef01234567", "abc", "é", "\n", "longvalue123456", "x.y", "😀"]
-    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 14)))) for i in range(400)]
+    key = lambda n, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": "".join(r.choice(letters) for _ in range(n))
+    fixed = ["token", "PassWord", "api_key", "secret", ": ", "=", " = ", '"', "'", "AKIA", "AKIAABCDEFGHIJ1234", "deadbeef01234567", "abc", "é", "\n", "longvalue123456", "x.y", "😀", "0123456789", "/usr/lib/x86-64/a.so.6.1.0", "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(i, "".join(r.choice(fixed) if r.random() < 0.8 else " " + key(r.choice([16, 20, 30]), r.choice(["0123456789ABCDEF", "0123456789abcdefXYZ"])) + " " if r.random() < 0.5 else key(24) for _ in range(r.randint(0, 14)))) for i in range(400)]
     random_key = "Zx9Qk2Lm8Rt5Vw1Yp4Bn7Hc3Jd6Fg0Sa"
-    rows += [(1000, f"é {random_key} end"), (1001, "123e4567-e89b-12d3-a456-426614174000"), (1002, "A" * 60 + " abcdefghijklmnopqrstuvwxyz"), (1003, f"token={random_key}"), (1004, "0123456789ABCDEF0246813579BDF0CA")]
+    rows += [(1000, f"é {random_key} end"), (1001, "123e4567-e89b-12d3-a456-426614174000"), (1002, "A" * 60 + " abcdefghijklmnopqrstuvwxyz"), (1003, f"token={random_key}"), (1004, "A1B2C3D4E5F60718 0246813579BDF0CA")]
     got = {x["doc_id"]: x for x in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
         base = secret_base(t)
         assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), t
-        assert set(filter(None, base.split(","))) <= set(got[i]["spans"].split(","))
+        assert sorted(got[i]["spans"].split(",")) == sorted([*filter(None, base.split(",")), *secret_extra(t)] or [""]), t
     assert got[1000]["spans"] == "entropy_base64:2:34" and got[1001]["spans"] == "" and got[1002]["spans"] == ""
-    assert got[1003]["spans"] == "assign:0:38"
+    assert got[1003]["spans"] == "assign:0:38" and got[1004]["spans"] == "entropy_hex:0:16,entropy_hex:17:33"
 
 
 def test_window_entropy(spark):
@@ -145,6 +166,19 @@ def test_window_entropy(spark):
         assert abs(h - want) < 1e-9
 
 
+def test_secrets_take_linear_time(spark):
+    """One run of a million characters, one of many paths, and as many matches."""
+    import time
+
+    r = random.Random(1)
+    texts = ["".join(r.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123+") for _ in range(1_000_000)), "a1/b-" * 200_000, "0123456789abcdef0 " * 50_000]
+    start = time.time()
+    got = {x["doc_id"]: x for x in secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - start < 60
+    assert got[0]["spans"] == "entropy_base64:0:1000000" and got[1]["spans"] == "" and got[2]["n_hex"] == 50_000
+    assert got[2]["base_sha256"] == hashlib.sha256(",".join(f"hex:{18 * i}:{18 * i + 17}" for i in range(50_000)).encode()).hexdigest()
+
+
 # -- 3
 
 
@@ -228,14 +262,15 @@ def test_plan_is_best_fit_decreasing():
         assert bins == want
 
 
-def test_packing(spark):
+def test_packing(spark, monkeypatch):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    assert packing.encoder(P.path("byte_bpe_50k.json")).ranked is not None
+    monkeypatch.setattr(packing, "SMALL_BLOCK", 3)
     r = random.Random(4)
-    rows = [(i, " ".join(words(r, r.choice([0, 1, 20, 300, 900])))) for i in range(60)] + [(100, "a  b\n \n c  "), (101, "it's <|endoftext|> é　😀")]
+    rows = [(i, " ".join(words(r, r.choice([0, 1, 20, 300, 900])))) for i in range(60)] + [(100, "a  b\n \n c  "), (101, "it's <|endoftext|> é　😀"), (102, "<|endoftext|>"), (103, "a<|endoftext|><|endoftext|>b <|endoftext"), (104, "\x00\x7f\xad ¡ÿ\ufffd\n\r\t  ")]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     by, seqs = {}, {}
     for x in got:
@@ -249,6 +284,7 @@ def test_packing(spark):
             assert x["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
             at += x["length"]
         assert at == len(ids) and all(x["length"] == 1024 for x in by[i] if x["piece"])
+    assert 50256 in tok.encode(dict(rows)[101], add_special_tokens=False).ids
     for s in seqs.values():
         at = 0
         for x in sorted(s, key=lambda x: x["offset"]):
@@ -257,6 +293,21 @@ def test_packing(spark):
         assert at <= 1024
 
 
+@needs_tables
+def test_ranks_give_the_ids_of_the_tokenizer():
+    """On whole texts of the tables, and for a file of another kind by the tokenizer itself."""
+    P = pytest.importorskip("public_tokenizers")
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = [t for t in pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist() if t]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc, tok = packing.Encoder(P.path(name)), Tokenizer.from_file(P.path(name))
+        assert (enc.ranked is not None) == (name == "byte_bpe_50k.json")
+        for t, got in zip(texts[:60], enc.encode(texts[:60])):
+            assert list(struct.unpack(f"<{len(got) // 4}I", got)) == tok.encode(t, add_special_tokens=False).ids
+
+
 # -- 5
 
 
