@@ -13,7 +13,7 @@ rows are packed once for each row; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,8 +27,9 @@ from .common import kind_of, pick, settled, text_of
 
 CAPACITY = 1024
 END_ID = 2
-#: Ranks of one length are numbered in blocks of about so many rows, so no length is one task's work.
-RANK_BLOCK = 50_000
+#: Ranks of one length are numbered in blocks of about so many rows, so no length is one task's work: of SMALL_BLOCK rows while
+#: that makes FEW_BLOCKS at most, as the driver holds a number for each block.
+RANK_BLOCK, SMALL_BLOCK, FEW_BLOCKS = 50_000, 500, 32
 
 
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
@@ -43,32 +44,51 @@ def _tokenizer_path(path: str | None) -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter by which a byte-level vocabulary writes each byte: itself where it shows, else one from code point 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def ranks(spec: dict) -> dict[bytes, int] | None:
+    """The id of each token's bytes, where a tokenizer's file describes plain byte-level pair merging with ids in the order of merges."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain = plain and spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    if not plain:
+        return None
+    letters, added = byte_letters(), {t["content"] for t in spec.get("added_tokens", ())}
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:])) or merged and merged[0] < 0:
+        return None
+    return {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+
+
 class Encoder:
-    """Ids of texts, without special tokens. Where the vocabulary's ranks stand beside the tokenizer's file (same name,
-    `.tiktoken`), they give the same ids with less work; else the tokenizer itself does."""
+    """Ids of texts as the tokenizer gives them without special tokens around. Where its file describes plain pair merging, merging
+    by rank gives the same ids with less work; texts that hold one of its added tokens, and other files, go to the tokenizer."""
 
     def __init__(self, path: str):
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        self.ranked = self.tokenizer = None
-        if os.path.exists(ranks):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer, self.ranked = Tokenizer.from_file(path), None
+        self.added = [t["content"] for t in spec.get("added_tokens", ())]
+        if (merges := ranks(spec)) is not None:
             import tiktoken
 
-            with open(ranks, "rb") as f:
-                merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            self.ranked = tiktoken.Encoding(os.path.basename(ranks), pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
-        else:
-            from tokenizers import Tokenizer
+            self.ranked = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
-            self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
+    def _ids(self, text: str) -> list[int]:
+        if self.ranked is None or any(token in text for token in self.added):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if self.ranked is not None:
-            ids = map(self.ranked.encode_ordinary, texts)
-        else:
-            ids = (x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-        return [np.array(x, dtype="<u4").tobytes() for x in ids]
+        return [np.array(self._ids(t), dtype="<u4").tobytes() for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -190,12 +210,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`cut` (as `pieces` gives it) with sequence_id and offset."""
     cut = settled(cut)
     total = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    blocks = [max(1, -(-total.get(n, 0) // RANK_BLOCK)) for n in range(capacity + 1)]
+    blocks = [max(1, -(-total.get(n, 0) // RANK_BLOCK), min(FEW_BLOCKS, total.get(n, 0) // SMALL_BLOCK)) for n in range(capacity + 1)]
     block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(F.lit(blocks), F.col("length").cast("int") + 1).cast("long")).alias("block")
     dealt = cut.select("*", block)
     base: dict[tuple[int, int], int] = {}
     seen: dict[int, int] = {}
-    # a row for each block: capacity + pieces / RANK_BLOCK at most
+    # a row for each block: capacity * FEW_BLOCKS + pieces / RANK_BLOCK at most
     for r in sorted(dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")).collect()):
         base[r["length"], r["block"]] = seen.get(r["length"], 0)
         seen[r["length"]] = seen.get(r["length"], 0) + r["n"]
