@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, row_key, settled, text_of
+from .common import bound, pick, row_key, settled, text_of
 
 #: Places that a mask looks at, for items of SPAN tokens and more; MORE_MASKS meets what the others leave out.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 7), (0, 2, 3, 5, 6), (0, 1, 4, 6, 7))
@@ -29,6 +29,8 @@ MORE_MASKS = ((0, 1, 2, 5, 9),)
 SHORT_MASKS = ((0, 1, 2, 4), (0, 3, 4, 5), (0, 1, 3, 6), (0, 1, 5, 7), (0, 2, 5, 6), (0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4))
 SPAN, SHARE = 13, 0.7
 LEAST_TOKENS = 5
+#: Diagonals of one text that are compared together.
+DIAGONALS = 4096
 BROADCAST_ROWS = 1_000_000
 
 
@@ -65,24 +67,29 @@ def items(benchmark: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row, item_id, first and last (places of tokens in the document), agreeing: a row for each contaminated diagonal."""
     found = items(benchmark)
-    held = found.select(F.xxhash64("tokens").alias("item"), "item_id", "tokens")
+    held = found.select(F.xxhash64("tokens").alias("item"), "item_id", "tokens", F.size("tokens").alias("n"))
     kind = F.least(F.size("tokens"), F.lit(SPAN)).alias("kind")
     kinds = sorted(r["kind"] for r in found.select(kind).distinct().collect()) or [SPAN]  # SPAN numbers at most
     masks = dict.fromkeys(m for n in kinds for m in masks_of(n))
     asked = {m: F.least(F.col("size"), F.lit(SPAN)).isin([n for n in kinds if m in masks_of(n)]) for m in masks}
-    wanted = settled(seeds(held, asked, "item").select("item", F.col("place").alias("item_place"), "seed").distinct())
+    wanted = settled(seeds(held, asked, "item", "n").select("item", "n", F.col("place").alias("item_place"), "seed").distinct())
     small = wanted.count() <= BROADCAST_ROWS
     keyed = pick(docs, "doc_id", "text").select(row_key("doc_id", "text").alias("row"), text_of().alias("text"))
     own = seeds(keyed.select("row", tokens(F.col("text")).alias("tokens")), {m: F.lit(True) for m in masks}, "row")
     met = own.join(F.broadcast(wanted) if small else wanted, "seed")
-    met = settled(met.select("row", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct())
-    per_row = met.groupBy("row").agg(F.collect_list(F.struct("item", "diagonal")).alias("met"))  # at most places x masks of one text
-    texts = keyed.join(per_row, "row").dropDuplicates(["row"]).select("row", tokens(F.col("text")).alias("own"), F.explode("met").alias("m"))
-    texts = texts.select("row", "own", "m.item", "m.diagonal")
+    met = settled(met.select("row", "item", "n", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct())
+    # a text meets its places once, and of each only the tokens beside the item go on; a list has at most DIAGONALS x masks x
+    # the items that have one seed
+    listed = met.groupBy("row", F.floor(F.col("diagonal") / DIAGONALS).alias("part")).agg(F.collect_list(F.struct("item", "n", "diagonal")).alias("met"))
+    texts = keyed.join(listed, "row").dropDuplicates(["row", "part"])
+
+    def beside(own: Column) -> Column:
+        cut = lambda m: F.slice(own, F.greatest(m["diagonal"], F.lit(0)) + 1, m["n"] + F.least(m["diagonal"], F.lit(0)))
+        return F.transform("met", lambda m: F.struct(m["item"].alias("item"), m["diagonal"].alias("diagonal"), cut(m).alias("inside")))
+
+    texts = texts.select("row", F.explode(bound(tokens(F.col("text")), beside)).alias("m")).select("row", "m.item", "m.diagonal", "m.inside")
     both = texts.join(F.broadcast(held) if small else held, "item")
-    size = F.size("tokens")
-    inside = F.slice("own", F.greatest(F.col("diagonal"), F.lit(0)) + 1, size + F.least(F.col("diagonal"), F.lit(0)))
-    shifted = F.concat(F.array_repeat(F.lit(None).cast("bigint"), F.greatest(-F.col("diagonal"), F.lit(0))), inside)
+    shifted = F.concat(F.array_repeat(F.lit(None).cast("bigint"), F.greatest(-F.col("diagonal"), F.lit(0))), F.col("inside"))
     both = both.select("row", "item_id", "diagonal", F.transform(F.zip_with("tokens", shifted, lambda a, b: a.eqNullSafe(b)), lambda x: x.cast("int")).alias("agree"))
     # sums of all windows of SPAN places: a running sum, then differences
     both = both.withColumn("span", F.least(F.size("agree"), F.lit(SPAN)))
