@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,14 +162,13 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
 
 
-def decode(data: bytes) -> list[Frame]:
-    """The frames of a GIF in order, each as it appears on the canvas."""
+def frames(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF in order, each as it appears on the canvas; one is held at a time."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     w, h, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
     shared, at = _palette(data, 13, flags)
     canvas = np.zeros((h, w, 4), np.uint8)
-    frames: list[Frame] = []
     delay, disposal, clear = 0, 0, None
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
@@ -203,13 +202,16 @@ def decode(data: bytes) -> list[Frame]:
         part = index[: area.shape[0], : area.shape[1]]
         paint = np.ones(part.shape, bool) if clear is None else part != clear
         area[paint, :3], area[paint, 3] = colours[part[paint]], 255
-        frames.append(Frame(delay, x, y, area.shape[1], area.shape[0], canvas.copy()))
+        yield Frame(delay, x, y, area.shape[1], area.shape[0], canvas.copy())
         if disposal == 2:
             area[:] = 0
         elif before is not None:
             canvas = before
         delay, disposal, clear = 0, 0, None
-    return frames
+
+
+def decode(data: bytes) -> list[Frame]:
+    return list(frames(data))
 
 
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
@@ -230,8 +232,13 @@ def store(payload: bytes) -> bytes:
     return b"".join([*out, b"\x3b"])
 
 
-def payload_of(frames: list[Frame]) -> bytes:
-    return b"".join(f.canvas[: f.height, :, 0].tobytes() for f in frames)
+def samples(frame: Frame) -> bytes:
+    """The payload bytes that a stored frame holds."""
+    return frame.canvas[: frame.height, :, 0].tobytes()
+
+
+def payload_of(shown: Iterable[Frame]) -> bytes:
+    return b"".join(map(samples, shown))
 
 
 def padded(text: str) -> tuple[int, bytes]:
@@ -240,7 +247,7 @@ def padded(text: str) -> tuple[int, bytes]:
 
 
 def _mapped(docs: DataFrame, columns: list[tuple[str, pa.DataType, str]], row) -> DataFrame:
-    """doc_id and, from `row(n_bytes, media, frames)`, `columns` (name, Arrow type, SQL type);
+    """doc_id and, from `row(n_bytes, media, frames read back)`, `columns` (name, Arrow type, SQL type);
     each text is stored once and read back once."""
     docs = pick(docs, "doc_id", "text").select("doc_id", text_of().alias("text"))
 
@@ -252,7 +259,7 @@ def _mapped(docs: DataFrame, columns: list[tuple[str, pa.DataType, str]], row) -
                 for t in part.column(1).to_pylist():
                     n, payload = padded(t)
                     media = store(payload)
-                    rows.append(row(n, media, decode(media)))
+                    rows.append(row(n, media, frames(media)))
                 cols = zip(*rows) if rows else [()] * len(columns)
                 yield pa.record_batch([part.column(0), *[pa.array(c, kind) for c, (_, kind, _) in zip(cols, columns)]], names=["doc_id", *[c for c, _, _ in columns]])
 
@@ -263,8 +270,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (the GIF) and frames (delay, size, 64-bin colour histogram of each, as read back)."""
     frame = pa.struct([("delay_ms", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("colours", pa.list_(pa.int64()))])
 
-    def row(n, media, frames):
-        return n, media, [{"delay_ms": f.delay_ms, "width": f.width, "height": f.height, "colours": f.histogram().tolist()} for f in frames]
+    def row(n, media, shown):
+        return n, media, [{"delay_ms": f.delay_ms, "width": f.width, "height": f.height, "colours": f.histogram().tolist()} for f in shown]
 
     columns = [("n_bytes", pa.int64(), "long"), ("media", pa.binary(), "binary"), ("frames", pa.list_(frame), "array<struct<delay_ms:int,width:int,height:int,colours:array<long>>>")]
     return _mapped(docs, columns, row)
@@ -273,12 +280,15 @@ def media_columns(docs: DataFrame) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """Digests of the stored GIF, of the payload read back from it, and its timing and colours as `feature`."""
 
-    def row(n, media, frames):
-        payload = payload_of(frames)
-        colours = np.sum([f.histogram() for f in frames], axis=0)
+    def row(n, media, shown):
+        sha, size, count, time, colours = hashlib.sha256(), 0, 0, 0, np.zeros(64, np.int64)
+        for f in shown:
+            part = samples(f)  # of BLOCK bytes at least
+            sha.update(part)
+            size, count, time, colours = size + len(part), count + 1, time + f.delay_ms, colours + f.histogram()
         grey = colours[[0, 21, 42, 63]].tolist()  # where red, green and blue are alike
-        feature = f"{len(frames)} frames, {sum(f.delay_ms for f in frames)} ms, " + ":".join(map(str, grey))
-        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        feature = f"{count} frames, {time} ms, " + ":".join(map(str, grey))
+        return n, size, sha.hexdigest(), zlib.crc32(part[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     kinds = [(pa.string(), "string") if c in ("payload_sha256", "media_sha256", "feature") else (pa.int64(), "long") for c in names]
