@@ -11,7 +11,8 @@
 Large buckets and groups are cut into blocks of entries, and each pair of blocks is its own task.
 
 With 64 bands of 8 values a pair at similarity 0.8 shares no bucket with probability 8e-6, at 0.85 with
-2e-9; the tolerance adds at most 1e-6 for each comparison. Nothing else is lost: there are no caps.
+2e-9; the tolerance adds at most 1e-6 for each comparison. There are no caps. Sets are told apart by 128 bits;
+the 64 bits that name them in buckets may be alike without loss, but for a pair of linked sets whose own 64 bits are.
 
 Defined cases: null text is empty; a text without words is a class of its own with no links, copies
 included; null doc_id is kept (a class of null ids alone has class_id null); equal rows link to each
@@ -229,7 +230,8 @@ def ties(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def links(docs: DataFrame, ready: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """entry, tied (an entry of its class, or itself), others (documents of other entries linked to it), for entries in groups; rows repeat."""
     copies = ready.where("entry is not null").groupBy("entry").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.min("near").alias("near"))
-    entries = ready.where("entry is not null").groupBy("near").agg(F.first("short").alias("short"), F.first("bands").alias("bands"))
+    # different sets with one `near` are one node of the ties, with the buckets of all of them
+    entries = ready.where("entry is not null").groupBy("entry").agg(F.first("near").alias("near"), F.first("short").alias("short"), F.first("bands").alias("bands"))
     groups = components(ties(entries, threshold))
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     members = settled(copies.join(groups.join(sizes, "root"), copies["near"] == groups["node"]).select("entry", "row", "copies", "root", "m"))
