@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontamination import LEAST_TOKENS, MASKS, SHARE, SPAN
 from .jaccard import THRESHOLD
+from .quotes import ANNOUNCE
+from .quotes import LEAST as LEAST_QUOTE
 from .secrets import ACCESS, ACCESS_LEAST, ALLOWED, ASSIGN, ASSIGN_LEAST, CLASSES, HEX, SEQUENCES
 from .shingles import WORDS
 
@@ -81,3 +83,39 @@ def classes_sql() -> str:
       c as (select reach.id, min(o.doc_id) as class_id from reach join s o on o.id = reach.other group by 1),
       n as (select x as id, count(*) as n from l group by 1)
       select doc_id, class_id, coalesce(n, 0) as n_links from s left join c using (id) left join n using (id)"""
+
+
+def threads_sql() -> str:
+    """Messages by lines, quoted passages by runs of lines of one level, links by comparing every passage with every message,
+    and reply order by the paths of segments. One turn of a conversation has one message of each role."""
+    norm = lambda x: rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    key = lambda x: f"coalesce('v' || {x}, 'n')"
+    mark = r"'^([ \t]*>)+[ \t]?'"
+    return rf"""with recursive m as materialized (select conv_id, turn, role, {key("conv_id")} as ckey, row_number() over (partition by conv_id order by turn nulls first, role nulls first) as pos, coalesce(text, '') as t from conversations),
+      l as materialized (select conv_id, pos, unnest(regexp_split_to_array(t, '\r?\n')) as line, unnest(range(len(regexp_split_to_array(t, '\r?\n')))) as i from m),
+      lv as materialized (select conv_id, pos, i, length(regexp_replace(regexp_extract(line, {mark}), '[^>]', '', 'g')) as level, regexp_replace(line, {mark}, '') as line from l),
+      ol as materialized (select * from lv where level = 0 and not regexp_matches(line, {_quoted(ANNOUNCE)})),
+      o as materialized (select m.conv_id, m.pos, any_value(turn) as turn, any_value(role) as role, any_value(ckey) as ckey, trim(coalesce(string_agg(line, chr(10) order by i), '')) as own from m left join ol on ol.conv_id is not distinct from m.conv_id and ol.pos = m.pos group by 1, 2),
+      on_ as materialized (select *, {norm("own")} as n from o),
+      f as materialized (select distinct conv_id, pos, ckey, n from (select conv_id, pos, ckey, n from on_ union all select ol.conv_id, ol.pos, {key("ol.conv_id")}, {norm("line")} from ol) where n <> ''),
+      r as (select *, i - row_number() over (partition by conv_id, pos, level order by i) as run from lv),
+      p as materialized (select conv_id, pos, level, min(i) as i, {norm("string_agg(line, chr(10) order by i)")} as n from r where level > 0 group by conv_id, pos, level, run),
+      h1 as (select p.conv_id, p.pos, p.i, max(f.pos) as src from p join f on f.conv_id is not distinct from p.conv_id and f.pos < p.pos and f.n = p.n group by 1, 2, 3),
+      h2 as (select p.conv_id, p.pos, p.i, max(x.pos) as src from p join on_ x on x.conv_id is not distinct from p.conv_id and x.pos < p.pos and p.n <> '' and contains(' ' || x.n || ' ', ' ' || p.n || ' ') group by 1, 2, 3),
+      a1 as (select n, min((ckey, pos)) as first from f group by 1),
+      a2 as (select q.n, min((x.ckey, x.pos)) as first from (select distinct n from p where n <> '') q join on_ x on contains(' ' || x.n || ' ', ' ' || q.n || ' ') group by 1),
+      s as materialized (select p.conv_id, p.pos, p.level, p.i, case when h1.src is not null then ({key("p.conv_id")}, h1.src) when h2.src is not null then ({key("p.conv_id")}, h2.src)
+          when length(p.n) < {LEAST_QUOTE} then null when (a1.first[1] <> {key("p.conv_id")} or a1.first[2] < p.pos) then a1.first when (a2.first[1] <> {key("p.conv_id")} or a2.first[2] < p.pos) then a2.first end as source
+        from p left join h1 on h1.conv_id is not distinct from p.conv_id and h1.pos = p.pos and h1.i = p.i left join h2 on h2.conv_id is not distinct from p.conv_id and h2.pos = p.pos and h2.i = p.i
+        left join a1 on a1.n = p.n left join a2 on a2.n = p.n),
+      k as materialized (select conv_id, pos, count(*) as n_quotes, count(source) as n_linked, arg_min(source, (level, i)) filter (source is not null) as source from s group by 1, 2),
+      j as materialized (select o.conv_id, o.pos, o.ckey, k.n_quotes, k.n_linked, k.source, case when k.source[1] = o.ckey and k.source[2] < o.pos - 1 then k.source[2] end as hangs_on
+        from o left join k on k.conv_id is not distinct from o.conv_id and k.pos = o.pos),
+      g as materialized (select *, coalesce(max(case when hangs_on is not null then pos end) over (partition by conv_id order by pos), 1) as segment from j),
+      path(conv_id, segment, way) as (select distinct conv_id, 1, []::bigint[] from g
+        union all select c.conv_id, c.pos, path.way || [-c.hangs_on, c.pos] from path join g u on u.conv_id is not distinct from path.conv_id and u.segment = path.segment
+          join g c on c.conv_id is not distinct from u.conv_id and c.hangs_on = u.pos)
+      select o.conv_id, o.turn, o.role, o.own as text, row_number() over (partition by o.conv_id order by path.way, g.pos) as position, case when g.hangs_on is not null then e.turn else b.turn end as parent_turn,
+        coalesce(g.n_quotes, 0) as n_quotes, coalesce(g.n_linked, 0) as n_linked, nullif(substring(g.source[1], 2), '') as source_conv, '<|' || coalesce(o.role, 'unknown') || '|>' || chr(10) || o.own as formatted
+      from g join o on o.conv_id is not distinct from g.conv_id and o.pos = g.pos join path on path.conv_id is not distinct from g.conv_id and path.segment = g.segment
+        left join o e on e.conv_id is not distinct from g.conv_id and e.pos = g.hangs_on left join o b on b.conv_id is not distinct from g.conv_id and b.pos = g.pos - 1"""

@@ -9,12 +9,18 @@
    that holds the passage; else the first message anywhere that is equal, else the first that holds it.
 3. A message answers the message its outermost quotation comes from, where that is in its conversation, else the message
    before. Conversations are put in reply order: a chain of messages that answer the one before is a segment; the
-   segments that hang on a segment follow it, those on its last messages first. Pointer doubling gives each
-   segment's path, so the rounds grow with the logarithm of the nesting.
-
-Defined cases: null text is empty; null conv_id is one conversation of its own, null turns come first; equal rows are
-separate messages; an empty table gives an empty result; other columns are ignored. Passages under LEAST characters are
-looked for in their own conversation only; passages without letters or digits have no source.
+   segments that hang on a segment follow it, those on its last messages first. A walk around the tree of segments is a
+   list of steps; pointer doubling sums the messages before each step, so the rounds grow with the logarithm of the number
+   of segments, and nothing is longer than a row.
+
+No step holds a conversation in one task: messages are numbered by ranges (`numbered`), what stands last before a message
+is found in blocks of BLOCK messages and then over blocks (`latest`), and the rest are joins on single messages. Texts
+are moved twice, to be numbered and for the result.
+
+Defined cases: null text is empty; null conv_id is one conversation of its own, null turns come first; messages of one turn
+and role stand in the order of a hash of their texts; equal rows are separate messages; an empty table gives an empty
+result; other columns are ignored. Passages under LEAST characters are looked for in their own conversation only; passages
+without letters or digits have no source.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from .common import pick, settled
 _MARK = r"^(?:[ \t]*>)+[ \t]?"
 #: Normalised text shorter than this many characters links inside its conversation only.
 LEAST = 12
+#: Messages of a block.
+BLOCK = 1000
 #: Words of a seed.
 SEED = 4
 #: Wanted seeds are broadcast while they are at most so many.
@@ -49,11 +57,35 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
 
 
+def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """`name`: the place of each row in its group by `order`, from 1. Rows are dealt by ranges of group and order, so a large
+    group is spread; its place is that in its range, after what ranges before hold of the group."""
+    keys = [*[F.col(g).asc_nulls_first() for g in group], *order]
+    dealt = settled(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id__", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("range__", F.shiftright("id__", 33))
+    ranges = dealt.groupBy(*group, "range__").agg(F.min("id__").alias("first__"), F.count(F.lit(1)).alias("n__"))
+    before = Window.partitionBy(*group).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    ranges = ranges.withColumn("before__", F.coalesce(F.sum("n__").over(before), F.lit(0))).drop("n__")
+    out = dealt.join(ranges, [*group, "range__"])
+    return out.withColumn(name, (F.col("id__") - F.col("first__") + F.col("before__") + 1).cast("int")).drop("id__", "range__", "first__", "before__")
+
+
+def latest(df: DataFrame, group: list[str], values: dict[str, Column]) -> DataFrame:
+    """For each name, the greatest value (which grow with `at`) of the group's rows that stand before (smaller `at`)."""
+    df = df.withColumn("block__", F.floor((F.col("at") - 1) / BLOCK))
+    inside = Window.partitionBy(*group, "block__").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*group, "block__").agg(*[F.max(v).alias(f"{n}_top__") for n, v in values.items()])
+    over = Window.partitionBy(*group).orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of a group
+    tops = tops.select(*group, "block__", *[F.max(f"{n}_top__").over(over).alias(f"{n}_before__") for n in values])
+    df = df.withColumns({f"{n}_here__": F.max(v).over(inside) for n, v in values.items()}).join(tops, [*group, "block__"])
+    return df.withColumns({n: F.coalesce(f"{n}_here__", f"{n}_before__") for n in values}).drop("block__", *[f"{n}_{x}__" for n in values for x in ("here", "before")])
+
+
 def parsed(conversations: DataFrame) -> DataFrame:
     """The messages with conv (key), at (place in the conversation), own text and passages (level, text)."""
     df = pick(conversations, "conv_id", "turn", "role", "text").withColumn("text", F.coalesce("text", F.lit("")))
     df = df.withColumn("conv", F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n")))
-    df = df.withColumn("at", F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "text")))
+    df = numbered(df, ["conv"], [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("text").asc()], "at")
     lines = F.transform(
         F.split("text", r"\r?\n", -1),
         lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, _MARK, 0), r"[^>]", "")).alias("level"), F.regexp_replace(x, _MARK, "").alias("line")),
@@ -85,8 +117,8 @@ def _before(asked: DataFrame, forms: DataFrame) -> DataFrame:
     """conv, at, number, source: the last message of `forms` (conv, at, hash) that stands before in the conversation."""
     both = asked.select("conv", "at", "number", "hash", F.lit(None).cast("int").alias("source"))
     both = both.unionByName(forms.select("conv", "at", F.lit(None).cast("int").alias("number"), "hash", F.col("at").alias("source")))
-    earlier = Window.partitionBy("conv", "hash").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("source", F.max("source").over(earlier)).where("number is not null and source is not null").select("conv", "at", "number", "source")
+    found = latest(both, ["conv", "hash"], {"last": F.col("source")})
+    return found.where("number is not null and last is not null").select("conv", "at", "number", F.col("last").alias("source"))
 
 
 def _holding(asked: DataFrame, messages: DataFrame, *scope: str) -> DataFrame:
@@ -142,38 +174,54 @@ def linked(messages: DataFrame) -> DataFrame:
     )
 
 
+def offsets(joined: DataFrame) -> DataFrame:
+    """conv, segment and `offset`, the messages before the segment in reply order, for conversations with segments that hang on another.
+
+    `joined` has conv, at, segment, and hangs_on where a segment starts that hangs on an earlier message."""
+    sizes = joined.groupBy("conv", "segment").agg(F.count(F.lit(1)).alias("size"))
+    starts = joined.where("hangs_on is not null").select("conv", "segment", "hangs_on")
+    parents = joined.select("conv", F.col("at").alias("hangs_on"), F.col("segment").alias("up"))
+    hung = starts.join(parents, ["conv", "hangs_on"])
+    hung = settled(numbered(hung, ["conv", "up"], [F.col("hangs_on").desc(), F.col("segment").asc()], "k"))
+    if not hung.limit(1).count():
+        return sizes.select("conv", "segment", F.lit(0).alias("offset")).where("false")
+    roots = hung.select("conv").distinct().withColumn("segment", F.lit(1))
+    nodes = hung.select("conv", "segment").unionByName(roots).join(sizes, ["conv", "segment"])
+    # a walk around the tree enters and leaves each segment; from each step to the next one
+    enter, leave = lambda c: 2 * F.col(c), lambda c: 2 * F.col(c) + 1
+    firsts = hung.where("k = 1").select("conv", F.col("up").alias("segment"), F.col("segment").alias("child"))
+    down = nodes.join(firsts, ["conv", "segment"], "left").select("conv", F.coalesce(enter("child"), leave("segment")).alias("step"), enter("segment").alias("from"), F.col("size").alias("sum"))
+    siblings = hung.select("conv", "up", (F.col("k") - 1).alias("k"), F.col("segment").alias("sibling"))
+    across = hung.join(siblings, ["conv", "up", "k"], "left").select("conv", F.coalesce(enter("sibling"), leave("up")).alias("step"), leave("segment").alias("from"), F.lit(0).cast("long").alias("sum"))
+    begin = roots.select("conv", enter("segment").alias("step"), F.lit(None).cast("int").alias("from"), F.lit(0).cast("long").alias("sum"))
+    walk = settled(down.unionByName(across).unionByName(begin))
+    while walk.where("from is not null").limit(1).count():
+        earlier = walk.select("conv", F.col("step").alias("from"), F.col("from").alias("next"), F.col("sum").alias("more"))
+        further = walk.where("from is not null").join(earlier, ["conv", "from"]).select("conv", "step", F.col("next").alias("from"), (F.col("sum") + F.col("more")).alias("sum"))
+        walk = settled(further.unionByName(walk.where("from is null")))
+    return walk.where("step % 2 = 0").select("conv", (F.col("step") / 2).cast("int").alias("segment"), F.col("sum").alias("offset"))
+
+
 def threads(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (own), position, parent_turn, n_quotes, n_linked, source_conv, formatted: messages in reply order."""
     messages = settled(parsed(conversations))
-    links = linked(messages).select("conv", "at", "n_quotes", "n_linked", F.col("outermost.source").alias("source"))
-    joined = messages.join(links, ["conv", "at"], "left")
+    links = settled(linked(messages).select("conv", "at", "n_quotes", "n_linked", F.col("outermost.source").alias("source")))
     # an answer to the message just before continues its segment
-    explicit = (F.col("source.conv") == F.col("conv")) & (F.col("source.at") < F.col("at") - 1)
-    joined = joined.withColumn("hangs_on", F.when(explicit, F.col("source.at")))
-    in_conv = Window.partitionBy("conv").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    joined = settled(joined.withColumn("segment", F.coalesce(F.last(F.when(F.col("hangs_on").isNotNull(), F.col("at")), True).over(in_conv), F.lit(1))))
-    # paths of the segments, by pointer doubling over those that hang on another
-    hung = joined.where("hangs_on is not null").select("conv", "segment", "hangs_on")
-    parents = joined.join(hung.select("conv", F.col("hangs_on").alias("at")).distinct(), ["conv", "at"], "left_semi").select("conv", F.col("at").alias("hangs_on"), F.col("segment").alias("up"))
-    step = F.array(F.struct((-F.col("hangs_on")).alias("back"), F.col("segment").alias("start")))
-    paths = settled(hung.join(parents, ["conv", "hangs_on"]).select("conv", "segment", F.col("up").alias("up"), step.alias("path")))
-    while paths.where("up > 1").limit(1).count():
-        above = paths.select("conv", F.col("segment").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
-        joined_up = paths.join(above, ["conv", "up"], "left")
-        doubled = settled(
-            joined_up.select("conv", "segment", F.coalesce("next", F.lit(1)).alias("up"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"))
-        )
-        paths = doubled
-    none = F.array().cast("array<struct<back:int,start:int>>")
-    placed = joined.join(paths.select("conv", "segment", "path"), ["conv", "segment"], "left").withColumn("path", F.coalesce("path", none))
-    turns = joined.join(joined.where("hangs_on is not null").select("conv", F.col("hangs_on").alias("at")).distinct(), ["conv", "at"], "left_semi").select("conv", F.col("at").alias("hangs_on"), F.col("turn").alias("explicit_turn"))
-    placed = placed.join(turns, ["conv", "hangs_on"], "left")
-    by_turn = Window.partitionBy("conv").orderBy("at")
-    placed = placed.withColumn("before", F.lag("turn").over(by_turn))
-    position = F.row_number().over(Window.partitionBy("conv").orderBy("path", "at"))
-    return placed.select(
-        "conv_id", "turn", "role", F.col("own").alias("text"), position.cast("long").alias("position"),
-        F.when(F.col("hangs_on").isNotNull(), F.col("explicit_turn")).otherwise(F.col("before")).alias("parent_turn"),
+    explicit = links.where((F.col("source.conv") == F.col("conv")) & (F.col("source.at") < F.col("at") - 1)).select("conv", "at", F.col("source.at").alias("hangs_on"))
+    order = messages.select("conv", "at", "turn").join(explicit, ["conv", "at"], "left")
+    order = latest(order, ["conv"], {"start": F.when(F.col("hangs_on").isNotNull(), F.col("at")), "previous": F.struct("at", "turn")})
+    segment = F.when(F.col("hangs_on").isNotNull(), F.col("at")).otherwise(F.coalesce("start", F.lit(1)))
+    joined = settled(order.select("conv", "at", "turn", "hangs_on", segment.alias("segment"), F.col("previous.turn").alias("before")))
+    answered = joined.where("hangs_on is not null").select("conv", "at", "hangs_on")
+    answered = answered.join(joined.select("conv", F.col("at").alias("hangs_on"), F.col("turn").alias("answered")), ["conv", "hangs_on"]).select("conv", "at", "answered")
+    placed = joined.join(settled(offsets(joined)), ["conv", "segment"], "left")
+    position = F.coalesce("offset", F.col("segment") - 1) + F.col("at") - F.col("segment") + 1
+    placed = placed.select("conv", "at", position.cast("long").alias("position"), "hangs_on", "before").join(answered, ["conv", "at"], "left").join(links, ["conv", "at"], "left")
+    placed = placed.select(
+        "conv", "at", "position", F.when(F.col("hangs_on").isNotNull(), F.col("answered")).otherwise(F.col("before")).alias("parent_turn"),
         F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.expr("nullif(substring(source.conv, 2), '')").alias("source_conv"),
+    )
+    return messages.join(placed, ["conv", "at"]).select(
+        "conv_id", "turn", "role", F.col("own").alias("text"), "position", "parent_turn", "n_quotes", "n_linked", "source_conv",
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("own")).alias("formatted"),
     )

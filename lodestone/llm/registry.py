@@ -59,4 +59,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The others are not plain SQL; tests/llm holds them against brute force, round trips and held-out labels."""
-    return {"op2_secrets": oracle.secrets_sql(), "op3_decontamination": oracle.contamination_sql(), "op7_jaccard": oracle.classes_sql()}
+    return {"op2_secrets": oracle.secrets_sql(), "op3_decontamination": oracle.contamination_sql(), "op7_jaccard": oracle.classes_sql(), "op8_quotes": oracle.threads_sql()}

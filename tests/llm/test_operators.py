@@ -477,6 +477,54 @@ def test_reply_order(spark):
     assert [x["turn"] for x in got] == [0, 1, 2, 3, 7, 8, 4, 5, 6]
 
 
+@pytest.mark.parametrize("block", [1000, 3])
+def test_random_quotes_against_sql(spark, monkeypatch, block):
+    """Nested, partial, wrapped, repeated and foreign quotations in conversations of many threads, against the plain SQL."""
+    import duckdb
+    import pandas as pd
+
+    from lodestone.llm import oracle
+
+    monkeypatch.setattr(quotes, "BLOCK", block)
+    r, rows, every = random.Random(block), [], []
+    for conv in range(14):
+        said = []
+        for turn in range(r.choice([1, 5, 12, 40])):
+            lines = []
+            for _ in range(r.choice([0, 0, 1, 1, 2])):
+                source = r.choice(said if said and r.random() < 0.8 else every or [["nobody wrote these words here"]])
+                k = r.randrange(len(source))
+                cut = source[k : k + r.randint(1, 3)] if r.random() < 0.6 else source
+                if r.random() < 0.2:
+                    cut = [" ".join(" ".join(cut).split()[1:])]
+                lines += [">" * r.choice([1, 1, 1, 2]) + r.choice(["", " "]) + x for x in cut]
+                lines += [" ".join(words(r, r.randint(1, 4)))] if r.random() < 0.7 else []
+            own = [" ".join(words(r, r.randint(1, 7), "abc" if r.random() < 0.2 else "abcdefgh")) for _ in range(r.randint(1, 4))]
+            if r.random() < 0.1:
+                own.append("On Monday, X wrote:")
+            said.append(own)
+            every.append(own)
+            rows.append((conv if conv else None, turn, r.choice(["user", "assistant", None]), "\n".join(lines + own) if r.random() < 0.97 else None))
+    names = "conv_id turn role text".split()
+    got = quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    con = duckdb.connect()
+    con.register("raw", pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"}))
+    con.sql("create table conversations as select conv_id::bigint as conv_id, turn::bigint as turn, role::varchar as role, text::varchar as text from raw")
+    want = con.sql(oracle.threads_sql())
+    assert got.columns == want.columns
+    a, b = sorted(map(tuple, got.collect()), key=repr), sorted(want.fetchall(), key=repr)
+    assert a == b and sum(x[7] > 0 for x in a) > 30 and sum(x[8] is not None for x in a) > 30
+
+
+def test_a_common_line_stays_linear(spark):
+    """One line that 6,000 messages of one conversation hold and quote, and as many answers to one message."""
+    rows = [(1, 0, "user", "the line that everyone knows")] + [(1, i, "user", "> the line that everyone knows\nthe line that everyone knows") for i in range(1, 6000)]
+    rows += [(2, 0, "user", "a question for all of you here")] + [(2, i, "user", f"> a question for all of you here\nanswer number {i}") for i in range(1, 6000)]
+    got = quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    seen = {(x["conv_id"], x["turn"]): (x["position"], x["parent_turn"]) for x in got.collect()}
+    assert all(seen[1, i] == (i + 1, i - 1) for i in range(1, 6000)) and all(seen[2, i][1] == 0 for i in range(1, 6000)) and sorted(p for (c, _), (p, _) in seen.items() if c == 2) == list(range(1, 6001))
+
+
 # -- 9
 
 
