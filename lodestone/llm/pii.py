@@ -1,10 +1,13 @@
 """Personal data: exact base patterns, and a semi-Markov conditional random field over candidate spans.
 
 The field scores whole spans (digits, separators, groups, check digits, the words before, the edges) for
-each type. A span has MAX_TOKENS tokens at most, so its dynamic programme is linear in the text; it
-chooses boundaries and types together. It is trained here by the log-likelihood of generated sentences
-with a fixed seed. It runs on the surroundings of digits and at-signs, elsewhere no span can score.
-Base spans always stay; a span of the field is added where it meets no base span.
+each type, and the type after the one before. Its dynamic programme chooses boundaries and types together.
+It is trained here by the log-likelihood of generated sentences with a fixed seed.
+
+Limits: a span of the field has MAX_TOKENS tokens at most (so the programme is linear in the text), and lies
+within AROUND characters, or up to twice as many to the next blank, of something that can start one: two digits
+in a row, four digits with marks between, an at-sign or "at" in brackets. Base spans have no limits; they always
+stay, and a span of the field is added where it meets no base span.
 
 Defined cases: null text is empty; null doc_id is kept; equal rows give equal rows; an empty table gives
 an empty result; other columns are ignored.
@@ -36,7 +39,11 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
-_TRIGGER = re.compile(r"[0-9]{2,}|@|[\[(] ?at ?[\])]", re.I)
+_TRIGGER = re.compile(r"[0-9]{2,}|[0-9](?:[^\w\n]{1,3}[0-9]){3}|@|[\[(] ?at ?[\])]", re.I)
+_ON_AFTER = re.compile(r"[ ./-]{1,2}\(?[0-9]")
+_ON_BEFORE = re.compile(r"[0-9]\)?[ ./-]{1,2}$")
+_DATED = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}([-/. ])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([-/. ])[01]?[0-9]\2(?:19|20)[0-9]{2})(?![0-9])|[0-2]?[0-9]:[0-5][0-9]")
+_YEAR_FIRST = re.compile(r"(?:19|20)[0-9]{2}(?![0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -95,7 +102,13 @@ _SHAPES = (
     re.compile(r"(\+|00)?[0-9]{0,3}[ ./-]?(\([0-9]{2,5}\))?([ ./-]?[0-9]{2,5}){2,5}"),
 )
 _DATE = re.compile(r"(19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](19|20)[0-9]{2}|[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?")
-N_FEATURES = 20
+#: Ways to group a phone number: area, exchange and line; area in brackets; a leading zero and one or two groups; pairs.
+_GROUPED = (
+    re.compile(r"(\+?[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}"),
+    re.compile(r"\(?0[0-9]{1,4}\)?[ /-]([0-9]{5,8}|[0-9]{3,4}[ -][0-9]{3,4})"),
+    re.compile(r"(\+[0-9]{1,3}[ .-]?(\(0\))?[0-9]{1,4}|0[0-9])([ .-][0-9]{2,4}){2,4}"),
+)
+N_FEATURES = 29
 
 
 def span_features(text: str, a: int, b: int) -> np.ndarray | None:
@@ -123,6 +136,13 @@ def span_features(text: str, a: int, b: int) -> np.ndarray | None:
     words = {w.lower() for w in re.findall(r"[A-Za-z]+", text[max(0, a - 24) : a])[-3:]}
     f[15:19] = [bool(words & cue) for cue in _CUES]
     f[19] = len(digits) == len(s)
+    f[20] = bool(_ON_AFTER.match(text, b))
+    f[21] = bool(_ON_BEFORE.search(text[max(0, a - 4) : a]))
+    f[22] = bool(_DATED.search(s))
+    f[23] = bool(_YEAR_FIRST.match(s))
+    f[25:28] = [bool(x.fullmatch(s)) for x in _GROUPED]
+    f[28] = s.lstrip("(")[0] == "0"
+    f[24] = max(map(len, re.findall(r"[0-9]+", s)), default=0) <= 2
     return f
 
 
@@ -147,33 +167,40 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int,
     return bounds, out
 
 
-def decode(text: str, lo: int, hi: int, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the best segmentation of text[lo:hi]."""
+def decode(text: str, lo: int, hi: int, model: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the best segmentation of text[lo:hi]. State 0 is a token outside, 1 + kind a span."""
     bounds, spans = candidates(text, lo, hi)
     if not spans:
         return []
-    scored = np.array([f for _, _, f in spans]) @ weights
-    ends: dict[int, list[tuple[int, int, float]]] = {}
+    weights, follow = model
+    scored = (np.array([f for _, _, f in spans]) @ weights).tolist()
+    t, reach = follow.tolist(), float(follow.max())
+    ends: dict[int, list[tuple[int, list[float]]]] = {}
     for (i, j, _), row in zip(spans, scored):
-        k = int(row.argmax())
-        if row[k] > 0:
-            ends.setdefault(j, []).append((i, k, float(row[k])))
-    best, back = [0.0], [None]
+        if max(row) + reach > 0:
+            ends.setdefault(j, []).append((i, row))
+    if not ends:
+        return []
+    states, low = range(len(KINDS) + 1), float("-inf")
+    best, back = [[0.0] + [low] * len(KINDS)], [[None] * (len(KINDS) + 1)]
     for j in range(1, len(bounds)):
-        top, how = best[j - 1], None
-        for i, k, s in ends.get(j, ()):
-            if best[i] + s > top:
-                top, how = best[i] + s, (i, k)
+        prev = best[j - 1]
+        y = max(states, key=lambda y: prev[y] + t[y][0])
+        top, how = [prev[y] + t[y][0]] + [low] * len(KINDS), [(j - 1, y)] + [None] * len(KINDS)
+        for i, row in ends.get(j, ()):
+            for k, score in enumerate(row, 1):
+                y = max(states, key=lambda y: best[i][y] + t[y][k])
+                if (value := best[i][y] + t[y][k] + score) > top[k]:
+                    top[k], how[k] = value, (i, y)
         best.append(top)
         back.append(how)
     out, j = [], len(bounds) - 1
+    y = max(states, key=lambda y: best[j][y])
     while j > 0:
-        if back[j] is None:
-            j -= 1
-        else:
-            i, k = back[j]
-            out.append((bounds[i], k, bounds[j]))
-            j = i
+        i, before = back[j][y]
+        if y:
+            out.append((bounds[i], y - 1, bounds[j]))
+        j, y = i, before
     return out[::-1]
 
 
@@ -198,12 +225,23 @@ def _generated(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, in
 
     def phone() -> str:
         sep = r.choice([" ", "-", "."])
-        return r.choice([f"+{r.randint(1, 99)}{sep}{d(3)}{sep}{d(3)}{sep}{d(4)}", f"00{r.randint(30, 99)}{sep}{d(3)}{sep}{d(3)}{sep}{d(3)}", f"({d(3)}) {d(3)}-{d(4)}", f"0{d(3)}{sep}{d(3)}{sep}{d(3)}"])
+        pairs = sep.join(d(2) for _ in range(4))
+        return r.choice([
+            f"+{r.randint(1, 99)}{sep}{d(3)}{sep}{d(3)}{sep}{d(4)}", f"00{r.randint(30, 99)}{sep}{d(3)}{sep}{d(3)}{sep}{d(3)}", f"({d(3)}) {d(3)}-{d(4)}", f"0{d(3)}{sep}{d(3)}{sep}{d(3)}", f"0{d(1)}{sep}{pairs}", f"+{r.randint(30, 49)} {d(1)} {pairs}",
+            f"0{d(3)} {d(7)}", f"0{d(2)}/{d(7)}", f"{d(3)}-{d(3)}-{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"+{r.randint(30, 49)} (0){d(2)} {d(4)} {d(4)}", f"(0{d(2)}) {d(4)} {d(4)}",
+        ])
 
     def other() -> str:
         wrong = next(x for x in iter(lambda: d(16), None) if not luhn(x))
-        sep = r.choice(["", "", " ", "-"])
-        return r.choice([wrong, sep.join(wrong[i : i + 4] for i in range(0, 16, 4)), f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", f"{r.randint(0, 9)}.{r.randint(0, 30)}.{r.randint(0, 30)}", d(r.randint(4, 12)), f"{d(3)},{d(3)}.{d(2)}", f"1{d(1)}:{r.randint(10, 59)}:{r.randint(10, 59)}", f"#{d(8)}", f"{d(4)}-{d(4)}", word() + "@" + word(), d(20), f"{word()}{d(6)}", d(16) + d(5)])
+        sep, year = r.choice(["", "", " ", "-"]), f"{r.choice(['19', '20'])}{d(2)}"
+        month, day, hour, minute = f"{r.randint(1, 12):02d}", f"{r.randint(1, 28):02d}", f"{r.randint(0, 23):02d}", f"{r.randint(0, 59):02d}"
+        cut = r.choice(["-", "/", ".", " "])
+        return r.choice([
+            wrong, sep.join(wrong[i : i + 4] for i in range(0, 16, 4)), cut.join([year, month, day]), cut.join([day, month, year]), " ".join([year, month, day, hour, minute]), f"{year}-{month}-{day}T{hour}:{minute}:{d(2)}",
+            f"{day}.{month}.{year} {hour}:{minute}", f"{year}{month}{day}{hour}{minute}", f"{year}-{int(year) + 3}", " ".join(str(r.randint(10, 9999)) for _ in range(r.randint(3, 6))), ", ".join(str(r.randint(10, 99999)) for _ in range(4)),
+            f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{r.randint(1, 89)}.{d(4)}, {r.randint(1, 179)}.{d(4)}", f"10.{d(1)}.{r.randint(300, 99999)}.{d(1)}", f"{d(1)} {d(3)} {d(3)}.{d(2)}", f"INV-{year}-{d(8)}", f"{r.randint(0, 9)}.{r.randint(0, 30)}.{r.randint(0, 30)}",
+            d(r.randint(4, 12)), f"{d(3)},{d(3)}.{d(2)}", f"#{d(8)}", f"{d(4)}-{d(4)}", word() + "@" + word(), d(20), f"{word()}{d(6)}", d(16) + d(5), f"{d(5)}-{d(5)}-{d(5)}", f"{d(2)} x {d(2)} x {d(2)}",
+        ])
 
     out = []
     for _ in range(n):
@@ -224,44 +262,66 @@ def _generated(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, in
 
 
 @lru_cache(maxsize=1)
-def trained(sentences: int = 160, rounds: int = 40) -> np.ndarray:
-    """Weights (features x kinds) that raise the log-likelihood of generated sentences, by adaptive gradient steps."""
+def trained(sentences: int = 600, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x kinds) and scores of a state after another that raise the log-likelihood of generated sentences, by
+    adaptive gradient steps."""
+    k = len(KINDS) + 1
     data = []
     for text, spans in _generated(sentences):
         bounds, found = candidates(text, 0, len(text))
         if not found:
             continue
-        gold = {(a, b): k for a, k, b in spans}
+        gold = {(a, b): kind for a, kind, b in spans}
         x = np.array([f for _, _, f in found])
-        y = np.zeros((len(found), len(KINDS)))
+        y, moves = np.zeros((len(found), len(KINDS))), np.zeros((k, k))
+        step = {}
         for row, (i, j, _) in enumerate(found):
-            if (k := gold.get((bounds[i], bounds[j]))) is not None:
-                y[row, k] = 1
-        data.append((len(bounds), np.array([i for i, _, _ in found]), np.array([j for _, j, _ in found]), x, y))
-    w, seen = np.zeros((N_FEATURES, len(KINDS))), np.full((N_FEATURES, len(KINDS)), 1e-6)
+            if (kind := gold.get((bounds[i], bounds[j]))) is not None:
+                y[row, kind] = 1
+                step[i] = (j, kind + 1)
+        at, state = 0, 0
+        while at < len(bounds) - 1:
+            at, new = step.get(at, (at + 1, 0))
+            moves[state, new] += 1
+            state = new
+        by_end: dict[int, list[int]] = {}
+        by_start: dict[int, list[int]] = {}
+        for row, (i, j, _) in enumerate(found):
+            by_end.setdefault(j, []).append(row)
+            by_start.setdefault(i, []).append(row)
+        first, last = np.array([i for i, _, _ in found]), np.array([j for _, j, _ in found])
+        data.append((len(bounds), first, last, x, y, moves, by_end, by_start))
+    w, t = np.zeros((N_FEATURES, len(KINDS))), np.zeros((k, k))
+    seen, seen_t = np.full(w.shape, 1e-6), np.full(t.shape, 1e-6)
+    total = np.logaddexp.reduce
     for _ in range(rounds):
-        for n, i, j, x, y in data:
+        for n, first, last, x, y, moves, by_end, by_start in data:
             score = x @ w
-            whole = np.logaddexp.reduce(score, axis=1)
-            alpha, beta = np.zeros(n), np.zeros(n)
-            by_end: dict[int, list[int]] = {}
-            by_start: dict[int, list[int]] = {}
-            for row, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-                by_end.setdefault(b, []).append(row)
-                by_start.setdefault(a, []).append(row)
-            for t in range(1, n):
-                alpha[t] = alpha[t - 1]
-                if rows := by_end.get(t):
-                    alpha[t] = np.logaddexp.reduce([alpha[t], *(alpha[i[rows]] + whole[rows])])
-            for t in range(n - 2, -1, -1):
-                beta[t] = beta[t + 1]
-                if rows := by_start.get(t):
-                    beta[t] = np.logaddexp.reduce([beta[t], *(beta[j[rows]] + whole[rows])])
-            p = np.exp(score + (alpha[i] + beta[j] - alpha[-1])[:, None])
-            grad = x.T @ (y - p) - 1e-3 * w
+            alpha, beta = np.full((n, k), -np.inf), np.zeros((n, k))
+            alpha[0, 0] = 0
+            into = np.full((n, k), -np.inf)  # the sum over what may stand before a segment that starts here
+            for j in range(n):
+                if j:
+                    alpha[j, 0] = into[j - 1, 0]
+                    if rows := by_end.get(j):
+                        alpha[j, 1:] = total(into[first[rows], 1:] + score[rows], axis=0)
+                into[j] = total(alpha[j][:, None] + t, axis=0)
+            for j in range(n - 2, -1, -1):
+                beta[j] = t[:, 0] + beta[j + 1, 0]
+                if rows := by_start.get(j):
+                    beta[j] = np.logaddexp(beta[j], total(t[:, None, 1:] + (score[rows] + beta[last[rows], 1:])[None], axis=(1, 2)))
+            z = beta[0, 0]
+            p = np.exp(into[first, 1:] + score + beta[last, 1:] - z)
+            expected = np.zeros((k, k))
+            expected[:, 0] = np.exp(alpha[:-1] + t[:, 0] + beta[1:, :1] - z).sum(axis=0)
+            expected[:, 1:] = np.exp(alpha[first][:, :, None] + t[None, :, 1:] + (score + beta[last, 1:])[:, None, :] - z).sum(axis=0)
+            grad, grad_t = x.T @ (y - p) - 1e-3 * w, moves - expected - 1e-3 * t
+            grad_t[0, 0] = 0  # the scale of the others
             seen += grad**2
+            seen_t += grad_t**2
             w += 0.5 * grad / np.sqrt(seen)
-    return w
+            t += 0.1 * grad_t / np.sqrt(seen_t)
+    return w, t
 
 
 def windows(text: str) -> list[tuple[int, int]]:
@@ -280,12 +340,12 @@ def windows(text: str) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def find(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find(text: str, model: tuple[np.ndarray, np.ndarray]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and the spans that the field adds."""
     base = base_spans(text)
     added = []
     for lo, hi in windows(text):
-        for a, k, b in decode(text, lo, hi, weights):
+        for a, k, b in decode(text, lo, hi, model):
             if not any(x < b and a < y for x, _, y in base):
                 added.append((a, k, b))
     return base, added
@@ -300,14 +360,14 @@ def spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     docs = pick(docs, "doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")])
     names = docs.columns
     schema = ", ".join(f"`{c}` {kind_of(docs, c)}" for c in names)
-    weights = trained()
+    model = trained()
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [find(t or "", weights) for t in part.column(1).to_pylist()]
+                found = [find(t or "", model) for t in part.column(1).to_pylist()]
                 both = [pa.array([[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in f[x]] for f in found], kind) for x in (0, 1)]
                 yield pa.record_batch([*[part.column(i) for i in range(part.num_columns)], *both], names=[*names, "base", "added"])
 
@@ -318,13 +378,13 @@ def spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256 and all spans."""
     docs = pick(docs, "doc_id", "text")
-    weights = trained()
+    model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [find(t or "", weights) for t in part.column(1).to_pylist()]
+                found = [find(t or "", model) for t in part.column(1).to_pylist()]
                 counts = [pa.array([sum(k == x for _, k, _ in base) for base, _ in found], pa.int64()) for x in range(len(KINDS))]
                 sha = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found], pa.string())
                 every = pa.array([listed(base + added) for base, added in found], pa.string())
@@ -347,14 +407,20 @@ def masked(text: str, found: list[dict]) -> str:
 
 def mask(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns doc_id, text and `keep` with every span of `text` replaced by its kind; a null text stays null."""
-    found = spans(docs, keep)
-    names = found.columns[:-2]
+    docs = pick(docs, "doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")])
+    names, model = docs.columns, trained()
+
+    def clean(text: str | None) -> str | None:
+        if text is None:
+            return None
+        base, added = find(text, model)
+        return masked(text, [{"start": a, "kind": KINDS[k], "end": b} for a, k, b in base + added]) if base or added else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(i) for i in range(len(names))]
-            every = zip(cols[1].to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())
-            cols[1] = pa.array([None if t is None else masked(t, a + b) for t, a, b in every], pa.string())
-            yield pa.record_batch(cols, names=names)
+            for lo in range(0, batch.num_rows, 512):
+                cols = list(batch.slice(lo, 512).columns)
+                cols[1] = pa.array(map(clean, cols[1].to_pylist()), pa.string())
+                yield pa.record_batch(cols, names=names)
 
-    return found.mapInArrow(run, ", ".join(f"`{c}` {kind_of(found, c)}" for c in names))
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kind_of(docs, c)}" for c in names))
