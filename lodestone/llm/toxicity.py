@@ -8,7 +8,9 @@
    more may differ by one edit. The word's Levenshtein automaton runs along the trie; a test of shared
    one-letter deletions spares words that cannot match.
 3. Context. A hit inside a window with quotation marks or words of reporting counts as quoted, others as
-   direct. A logistic model over these counts, fitted on the same sample, gives the score.
+   direct or, with an edit, as misspelled. A logistic model over these counts gives the score. It is fitted on the
+   same sample, and on two altered copies of each toxic text, as labels alone seldom show either: one with its terms
+   misspelled, which is toxic still, and one with its terms reported in quotation marks, which is taken as not toxic.
 
 Defined cases: null text is empty and gets the model's score for no hits; null doc_id is held out and
 never used for learning; several labels of one doc_id count as toxic if one is; no usable label gives
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -143,7 +146,8 @@ def _deletions(word: str) -> list[str]:
 
 
 class Lexicon:
-    """Trie of the entries. `match(word)` is (weight, exact) of the best entry, or None."""
+    """Trie of the entries. `match(word)` is (weight, exact, behind a stem) of the best entry, or None. Words near a form
+    behind a stem are more often other forms of clean words than words near an entry that stands for itself."""
 
     def __init__(self, entries: dict[str, float]):
         self.stems = {f[1:]: w for f, w in entries.items() if f[0] == "s"}
@@ -155,12 +159,12 @@ class Lexicon:
                 node = self.root
                 for c in word:
                     node = node.setdefault(c, {})
-                node[""] = weight
+                node[""] = weight, any(word.startswith(x) for x in self.stems)
                 self.near.update(_deletions(word))
         self.sizes = sorted({len(s) for s in self.stems})
         self.cache: dict[str, tuple] = {}
 
-    def fuzzy(self, word: str) -> float | None:
+    def fuzzy(self, word: str) -> tuple[float, bool] | None:
         """The largest weight of an entry within one edit: the automaton and the trie walked together."""
         auto, best = Automaton(word), None
         todo = [(self.root, auto.start)]
@@ -168,20 +172,20 @@ class Lexicon:
             node, state = todo.pop()
             for letter, child in node.items():
                 if letter == "":
-                    if auto.accepts(state) and (best is None or child > best):
+                    if auto.accepts(state) and (best is None or (not child[1], child[0]) > (not best[1], best[0])):
                         best = child
                 elif nxt := auto.step(state, letter):
                     todo.append((child, nxt))
         return best
 
-    def match(self, word: str) -> tuple[float, bool] | None:
+    def match(self, word: str) -> tuple[float, bool, bool] | None:
         if (w := self.words.get(word)) is not None:
-            return w, True
+            return w, True, False
         for n in self.sizes:
             if (w := self.stems.get(word[:n])) is not None and len(word) >= n:
-                return w, True
-        if len(word) >= FUZZY_FROM - 1 and not self.near.isdisjoint(_deletions(word)) and (w := self.fuzzy(word)) is not None:
-            return w, False
+                return w, True, True
+        if len(word) >= FUZZY_FROM - 1 and not self.near.isdisjoint(_deletions(word)) and (hit := self.fuzzy(word)) is not None:
+            return hit[0], False, hit[1]
         return None
 
     def of_chunk(self, chunk: str) -> tuple:
@@ -198,28 +202,47 @@ def _quoted(chunks: list[str], i: int) -> bool:
     return sum(c[0] in QUOTE_MARKS or c[-1] in QUOTE_MARKS for c in around) >= 2 or any(w in REPORTING for c in around for w in _WORD(c.lower()))
 
 
-N_FEATURES = 6
+def respelled(text: str, lexicon: Lexicon) -> str:
+    """The text with a letter left out, doubled or changed in each word that is an entry of the trie."""
+
+    def edit(m: re.Match) -> str:
+        word = m[0]
+        if len(word) < FUZZY_FROM or word.lower() not in lexicon.words:
+            return word
+        r = zlib.crc32(f"{word} {m.start()}".encode())
+        at, letter = 1 + r % (len(word) - 2), chr(97 + r // 7 % 26)
+        return word[:at] + ("", 2 * word[at], letter)[r // 256 % 3] + word[at + 1 :]
+
+    return re.sub(r"\w+", edit, text)
+
+
+def reported(text: str, lexicon: Lexicon) -> str:
+    """The text with each term it has as someone's words."""
+    return re.sub(r"\w+", lambda m: f'he said "{m[0]}"' if (hit := lexicon.match(m[0].lower())) and hit[1] else m[0], text)
+
+
+#: What an altered copy of a text weighs beside the text.
+COPY_WEIGHT = 0.5
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     chunks = text.split()
-    get, direct, quoted, fuzzy, weight = lexicon.cache.get, 0, 0, 0, 0.0
+    get, direct, quoted, fuzzy, forms, weight = lexicon.cache.get, 0, 0, 0, 0, 0.0
     for i, hits in enumerate(map(get, chunks)):
         if hits is None:
             hits = lexicon.of_chunk(chunks[i])
         if hits:
             is_quoted = _quoted(chunks, i)
-            for w, exact in hits:
-                if not exact:
-                    fuzzy += 1
-                elif is_quoted:
+            for w, exact, behind in hits:
+                if is_quoted:
                     quoted += 1
+                elif not exact:
+                    fuzzy, forms = fuzzy + (not behind), forms + behind
                 else:
                     direct += 1
-                if exact:
                     weight = max(weight, w)
-    total = direct + quoted
-    return [1.0, float(total > 0), math.log1p(direct), math.log1p(quoted), math.log1p(fuzzy), weight / 10 * (total / max(1, len(chunks))) ** 0.25]
+    share = lambda n: (n / max(1, len(chunks))) ** 0.25
+    return [1.0, float(direct > 0), math.log1p(direct), math.log1p(quoted), math.log1p(fuzzy), weight / 10 * share(direct), share(fuzzy), math.log1p(forms), share(forms)]
 
 
 _LEXICONS: dict[tuple, Lexicon] = {}
@@ -232,14 +255,14 @@ def _lexicon(entries: tuple) -> Lexicon:
     return _LEXICONS[entries]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights of a ridge-penalized logistic model, by Newton's method."""
+def fit(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights of a ridge-penalized logistic model of rows that count so much each, by Newton's method."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (count * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -254,15 +277,19 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(entries)
         for batch in batches:
-            vectors = [features(t, lexicon) for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(vectors, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
-
-    got = labelled.mapInArrow(run, "x array<double>, toxic int").groupBy("x", (F.col("toxic") != 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()  # the sample's rows at most
+            rows: list[tuple[list[float], int, float]] = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows.append((features(text, lexicon), int(toxic != 0), 1.0))
+                if toxic:
+                    rows += [(features(copy, lexicon), y, COPY_WEIGHT) for copy, y in ((respelled(text, lexicon), 1), (reported(text, lexicon), 0)) if copy != text]
+            x, y, count = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(count, pa.float64())], names=["x", "y", "count"])
+
+    got = labelled.mapInArrow(run, "x array<double>, y int, count double").groupBy("x", "y").agg(F.sum("count").alias("count")).collect()  # three times the sample's rows at most
     if len({r["y"] for r in got}) < 2:
         return entries, None
     got.sort(key=lambda r: (r["x"], r["y"]))
-    repeat = [r["n"] for r in got]
-    return entries, fit(np.repeat([r["x"] for r in got], repeat, axis=0), np.repeat([float(r["y"]) for r in got], repeat))
+    return entries, fit(*(np.array([r[c] for r in got], float) for c in ("x", "y", "count")))
 
 
 def scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
