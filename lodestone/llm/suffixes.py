@@ -236,7 +236,7 @@ def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bo
     """row, lo, hi (first and last window), anchor, digest and own of every run.
 
     Equal runs of one text (periodic text has one for every period) are one row, with the bytes they cover in
-    `own`, which is null otherwise; `across`, where repeats in one text don't count, keeps them apart."""
+    `own`, which is null otherwise; `across`, where repeats in one text don't count, the bytes of each of them."""
     interval = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,22 +245,21 @@ def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bo
             for part in by_size(range(len(raw)), map(len, raw), 500_000):
                 text, lo, hi, anchor, digest = runs([raw[i] for i in part], length, gram)
                 own: list[list[dict] | None] = [None] * len(text)
-                if not across:
-                    order = np.lexsort((lo, digest, anchor, text))
-                    keys = [x[order] for x in (text, anchor, digest)]
-                    twin = np.ones(len(order), bool)
-                    twin[:1] = False
-                    for x in keys:
-                        twin[1:] &= x[1:] == x[:-1]
-                    if twin.any():
-                        heads = np.flatnonzero(~twin)
-                        several = np.flatnonzero(np.diff(heads, append=len(order)) > 1)
-                        for k in several.tolist():
-                            same = order[heads[k] : heads[k + 1] if k + 1 < len(heads) else None]
-                            own[same[0]] = [{"a": a, "b": b} for a, b in _merged(list(zip(lo[same].tolist(), (hi[same] + length).tolist())))]
-                        keep = np.sort(order[heads])
-                        text, lo, hi, anchor, digest = (x[keep] for x in (text, lo, hi, anchor, digest))
-                        own = [own[k] for k in keep.tolist()]
+                order = np.lexsort((lo, digest, anchor, text))
+                twin = np.ones(len(order), bool)
+                twin[:1] = False
+                for x in (text[order], anchor[order], digest[order]):
+                    twin[1:] &= x[1:] == x[:-1]
+                if twin.any():
+                    heads = np.flatnonzero(~twin)
+                    several = np.flatnonzero(np.diff(heads, append=len(order)) > 1)
+                    for k in several.tolist():
+                        same = order[heads[k] : heads[k + 1] if k + 1 < len(heads) else None]
+                        covered = list(zip(lo[same].tolist(), (hi[same] + length).tolist()))
+                        own[same[0]] = [{"a": a, "b": b} for a, b in (covered if across else _merged(covered))]
+                    keep = np.sort(order[heads])
+                    text, lo, hi, anchor, digest = (x[keep] for x in (text, lo, hi, anchor, digest))
+                    own = [own[k] for k in keep.tolist()]
                 rows = batch.column(0).take(pa.array(np.asarray(part)[text] if len(text) else [], pa.int64()))
                 yield pa.record_batch([rows, *map(pa.array, (lo, hi, anchor, digest)), pa.array(own, interval)], names=["row", "lo", "hi", "anchor", "digest", "own"])
 
@@ -317,7 +316,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: boo
             out: list[tuple] = []
             texts = [r[6] for r in rows]
             numbers = {r[4]: k for k, r in enumerate(rows)}
-            hits = repeated_windows(texts, length, [numbers[r[4]] for r in rows] if across else None)
+            # a run that several rows have stands for all of them, so it is none's own
+            hits = repeated_windows(texts, length, [numbers[r[4]] if r[3] == 1 else -1 - k for k, r in enumerate(rows)] if across else None)
             dealt_windows: dict[tuple, list] = {}
             for r, hit in zip(rows, hits):
                 if r[3] == 1:
@@ -397,7 +397,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, across: boo
 
     split = sorted_out.where("blob is not null").select("anchor", "part", "blob", "owners").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     between = split.mapInArrow(merge, "row binary, a long, b long")
-    return whole.unionByName(inside).unionByName(between)
+    found = whole.unionByName(inside).unionByName(between)
+    if not across or once:
+        return found
+    # what was found in one of a text's equal runs is in the others too
+    found = settled(found)
+    twins = shared.where("own is not null").select("row", F.col("lo").alias("first"), (F.col("hi") + length).alias("end"), F.explode("own").alias("o")).select("row", "first", "end", (F.col("o.a") - F.col("first")).alias("on"))
+    more = found.join(twins.where(F.col("on") != 0), "row").where("a >= first and b <= end")
+    return found.unionByName(more.select("row", (F.col("a") + F.col("on")).alias("a"), (F.col("b") + F.col("on")).alias("b")))
 
 
 def _table(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
