@@ -222,7 +222,7 @@ def reported(text: str, lexicon: Lexicon) -> str:
 
 
 #: What an altered copy of a text weighs beside the text.
-COPY_WEIGHT = 0.5
+COPY_WEIGHT = 0.1
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
