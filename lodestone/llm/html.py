@@ -2,11 +2,13 @@
 
 1. A page becomes blocks of text. Elements whose role is known (menus, headers, footers, side bars, notices,
    adverts, forms, scripts, comments) are left out; blocks inside an article are the main text.
-2. What no role settles are blocks outside any article on pages without one, and blocks of links inside an
-   article. Their token streams, put together host by host, are searched for long substrings that occur on
+2. What no role settles are blocks outside any article, whether the page has one or not, and blocks of links inside
+   an article. Their token streams, put together host by host, are searched for long substrings that occur on
    distinct pages (`suffixes.repeats`: anchors, suffix array, common prefixes). Covered tokens are boilerplate
-   and go; unique runs stay. Pages of one host whose open text is the same are one page to the search, so copies of
-   a page don't erase each other. Text inside an article is otherwise never removed: articles may quote each other.
+   and go; unique runs stay. Beside an article a block stands alone in its stream and, if it is short, is met as a
+   whole; one made of links is a menu and no text. Pages of one host whose text is the same, article included, are
+   one page to the search, so copies of a page don't erase each other. Text inside an article is otherwise never
+   removed: articles may quote each other.
 
 Defined cases: null html is empty (empty text); null url is its own host; null page_id is kept; equal rows are
 one page to the search and give equal rows; an empty table gives an empty result; other columns are ignored.
@@ -212,16 +214,34 @@ def host_of(url: str | None) -> str:
 
 
 def open_blocks(found: list[Block]) -> list[int]:
-    """Places of the blocks that the search over the host decides on."""
+    """Places of the blocks that the search over the host decides on: all where no block is of an article, else links inside it and text beside it."""
     if any(b.main for b in found):
-        return [i for i, b in enumerate(found) if b.main and b.linked > len(b.text) / 2]
+        return [i for i, b in enumerate(found) if b.main == (b.linked > len(b.text) / 2)]
     return list(range(len(found)))
 
 
+def _marks(b: Block, words: int, beside: bool) -> tuple[int, int]:
+    """Tokens before and after a block's words in the stream. Beside an article they name the whole block, so no string that goes over
+    its ends is another block's, and fill a short one up to LONG."""
+    return (1, max(1, LONG - 1 - words)) if beside and not b.main else (0, 0)
+
+
 def stream(found: list[Block], host: str) -> bytes:
-    """TOKEN bytes for each word of the open blocks; equal words of different hosts differ."""
-    salt = xxhash.xxh3_64_intdigest(host)
-    return b"".join(xxhash.xxh32_digest(w, seed=salt & 0xFFFFFFFF) for i in open_blocks(found) for w in found[i].text.split(" "))
+    """TOKEN bytes for each word of the open blocks and each mark; equal words of different hosts differ."""
+    seed, beside, out = xxhash.xxh3_64_intdigest(host) & 0xFFFFFFFF, any(b.main for b in found), []
+    for i in open_blocks(found):
+        words = found[i].text.split(" ")
+        before, after = _marks(found[i], len(words), beside)
+        marks = [f"{k} {found[i].text}" for k in range(before + after)]  # no word has a blank
+        out += [xxhash.xxh32_digest(w, seed=seed) for w in [*marks[:before], *words, *marks[before:]]]
+    return b"".join(out)
+
+
+def _page_name(found: list[Block], searched: bytes, host: str) -> bytes:
+    """What pages of one host with the same text share: their stream, and what of an article is not in it."""
+    undecided = set(open_blocks(found))
+    settled_text = [f"\n{b.text}".encode() for i, b in enumerate(found) if b.main and i not in undecided]
+    return xxhash.xxh3_128_digest(b"".join([searched, *settled_text]), seed=xxhash.xxh3_64_intdigest(host))
 
 
 def main_text(found: list[Block], covered: list[tuple[int, int]] = ()) -> str:
@@ -235,8 +255,9 @@ def main_text(found: list[Block], covered: list[tuple[int, int]] = ()) -> str:
     for i, b in enumerate(found):
         if i in undecided:
             words = b.text.split(" ")
-            kept = [w for k, w in enumerate(words, place) if k not in gone]
-            place += len(words)
+            before, after = _marks(b, len(words), has_main)
+            kept = [w for k, w in enumerate(words, place + before) if k not in gone]
+            place += before + len(words) + after
             if kept:
                 out.append(" ".join(kept))
         elif b.main or not has_main:
@@ -252,10 +273,14 @@ def extract(pages: DataFrame) -> DataFrame:
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts = [host_of(u) for u in batch.column(1).to_pylist()]
-            got = [stream(blocks(h), host) for host, h in zip(hosts, batch.column(2).to_pylist())]
-            at = [i for i, s in enumerate(got) if len(s) >= LONG * TOKEN]
-            same = [xxhash.xxh3_128_digest(got[i], seed=xxhash.xxh3_64_intdigest(hosts[i])) for i in at]
-            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(same, pa.binary()), pa.array([got[i] for i in at], pa.binary())], names=["page", "row", "text"])
+            at, got, same = [], [], []
+            for i, (host, h) in enumerate(zip(hosts, batch.column(2).to_pylist())):
+                found = blocks(h)
+                if len(s := stream(found, host)) >= LONG * TOKEN:
+                    at.append(i)
+                    got.append(s)
+                    same.append(_page_name(found, s, host))
+            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(same, pa.binary()), pa.array(got, pa.binary())], names=["page", "row", "text"])
 
     keyed = pages.select(row_key("page_id", "url", "html").alias("page"), "url", "html")
     candidates = settled(keyed.mapInArrow(streams, "page binary, row binary, text binary").dropDuplicates(["page"]))  # else every use would parse all pages again

@@ -377,6 +377,20 @@ def test_search_over_hosts_by_brute_force(spark):
     assert got == want and any(len(want[i]) < sum(len(" ".join(b)) for b in blocks[i][1]) for i in want) and got[100] == got[0]
 
 
+def test_text_beside_an_article(spark):
+    """What has no role and stands outside a page's article is searched as well: what other pages of the host have goes, the rest stays."""
+    long_, short, links = "This site is run by one two three four and friends", "Read on", "<ul><li><a>our first page</a><li><a>our second page</a><li><a>all of our other pages</a></ul>"
+    body = lambda i: f"<p>Opening {i}.</p><p>{short}</p><article><p>Article {i} of {long_}</p>{links}</article><div>{long_}</div><p>Correction {i}: reader {i * i} found it wrong at first.</p><p><a>Next story {i}</a></p>"
+    rows = [(i, f"http://h.example/{i}", body(i)) for i in range(6)]
+    rows += [(10, "http://h.example/0?utm_source=feed", body(0)), (11, "http://other.example/", body(11)), (12, "http://h.example/12", f"<article>teaser</article><p>{long_} and a text of its own</p>")]
+    got = {x["page_id"]: x["text"] for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: (f"Opening {i}.", f"Article {i} of {long_}", f"Correction {i}: reader {i * i} found it wrong at first.")
+    assert all(got[i] == "\n".join(own(i)) for i in range(6)) and got[10] == got[0]
+    first, article, last = own(11)
+    assert got[11] == "\n".join([first, short, article, "our first page", "our second page", "all of our other pages", long_, last])
+    assert got[12] == "teaser\nand a text of its own"
+
+
 def test_tags_are_read_once():
     """Unclosed quotes, comments and tags take time in proportion to the page."""
     import time
