@@ -10,14 +10,25 @@ from lodestone.llm import decontamination, jaccard, packing, pii, toxicity
 from lodestone.llm.common import pick, released, removed, row_key, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of an Arrow batch: what a task holds twice, in the JVM beside its heap and in its Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of BATCH_BYTES, or less where the session asks for less; the session keeps this setting, as the
+    stage runs after its function has returned."""
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     scored = toxicity.scores(pick(docs, *COLUMNS), table(spark, sf_dir, "labels"), keep=COLUMNS)
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = pick(docs, *COLUMNS)
     kept = jaccard.join(docs).groupBy("class_key").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
     keyed = docs.withColumn("row", row_key("doc_id", "text"))
@@ -31,11 +42,13 @@ def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     masked = pii.mask(pick(docs, *COLUMNS), keep=COLUMNS)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as cp
+import pyarrow as pa
 import pytest
 
 
@@ -49,3 +50,20 @@ def test_empty_input(spark, corpus):
     docs = spark.read.parquet(folder + "/documents.parquet").where("false")
     for _, stage in cp.STAGES:
         assert stage(spark, docs, folder).collect() == []
+
+
+@pytest.mark.parametrize("name", ["toxicity", "jaccard_join", "pii", "packing"])
+def test_batches_are_small(spark, corpus, name):
+    """A task holds little of its rows at a time, however long the texts are."""
+    folder, _ = corpus
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    dict(cp.STAGES)[name](spark, spark.read.parquet(folder + "/documents.parquet"), folder)
+    long_rows = spark.range(0, 9_000, 1, 1).selectExpr("id", "repeat('x', 2000) as text")  # 18 MB, under 10,000 rows
+    sizes = lambda batches: (pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches)
+    got = long_rows.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(x["n"] for x in got) == 9_000 and max(x["size"] for x in got) < 1.1 * cp.BATCH_BYTES
+    spark.conf.set(limit, 1 << 20)  # who asks for less gets less
+    cp.small_batches(spark)
+    assert spark.conf.get(limit) == str(1 << 20)
+    spark.conf.unset(limit)
